@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("scalars",)
+TOPICS = ("scalars", "series")
 
 
 def load():
