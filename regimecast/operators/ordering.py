@@ -226,6 +226,38 @@ def neighbours(
     return fill(small, keys, up, down).unionByName(large)
 
 
+def running_sums(
+    df: DataFrame, keys: Keys, order: Sequence[str | Column], sums: dict[str, Column]
+) -> DataFrame:
+    """Add totals of each expression from the start of the series up to and including the row."""
+
+    def running(d: DataFrame, part: Keys, by: Sequence[str | Column]) -> DataFrame:
+        w = series_window(part, by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return d.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
+
+    big = oversized_groups(df, keys)
+    if big is None:
+        return running(df, keys, order)
+    small, large = _split(df, keys, big)
+    indexed = materialise(_ranged_index(large, keys, order, "_i"))
+    blocked = indexed.withColumn("_blk", F.floor(F.col("_i") / _blocks(df, 1)))
+    part = [*keys, "_blk"]
+    totals = blocked.groupBy(*part).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = series_window(keys, ["_blk"]).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        *[F.col(k).alias(f"_k_{k}") for k in part],
+        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
+    )
+    inner = running(blocked, part, ["_i"])
+    match = reduce(lambda a, b: a & b, [inner[k].eqNullSafe(totals[f"_k_{k}"]) for k in part])
+    large = (
+        inner.join(totals, match)
+        .withColumns({n: F.coalesce(n, F.lit(0)) + F.col(f"_b_{n}") for n in sums})
+        .select(*df.columns, *sums)
+    )
+    return large if small is None else running(small, keys, order).unionByName(large)
+
+
 def grouped(
     df: DataFrame,
     keys: Keys,

@@ -12,11 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimecast.functions.calendar import hour_number, naive
+from regimecast.operators import normalise, regimes
 from regimecast.operators.ordering import join_params, over_series
 from regimecast.sources.tables import read_table
 
 MODELS = ("lag1", "lag24", "mean24")
 Z95 = 1.96
+# Given regime centres on the 0..1 scale, hard and soft.
+HARD_CENTRES = ((0.1,), (0.3,), (0.6,))
+SOFT_CENTRES = ((0.12,), (0.33,), (0.55,))
+N_REGIMES = 3
 
 
 def hour_of(ts: str = "ts"):
@@ -118,6 +123,20 @@ class Views:
             )
         )
 
+    @cached_property
+    def norm_user(self) -> DataFrame:
+        """Hourly activity of each user on the user's own 0..1 scale, as a one-entry vector."""
+        keys = ["user_id"]
+        scaled = normalise.apply(self.hourly_user, normalise.fit(self.hourly_user, keys, "y"), keys, "y")
+        return scaled.withColumn("x", F.array("y_norm"))
+
+    @cached_property
+    def tif_user(self) -> DataFrame:
+        """Hard label k, memberships u and T, I, F against the given centres."""
+        hard = regimes.assign_hard(self.norm_user, "x", HARD_CENTRES)
+        soft = regimes.assign_soft(hard, "x", SOFT_CENTRES)
+        return regimes.tif(soft, "k", "u", N_REGIMES)
+
     @cached_property
     def emb_xy(self) -> DataFrame:
         return self.table("embeddings").select(
