@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("scalars", "series", "regimes", "clusters")
+TOPICS = ("scalars", "series", "regimes", "clusters", "evaluation", "models")
 
 
 def load():

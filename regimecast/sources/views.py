@@ -137,6 +137,30 @@ class Views:
         soft = regimes.assign_soft(hard, "x", SOFT_CENTRES)
         return regimes.tif(soft, "k", "u", N_REGIMES)
 
+    @cached_property
+    def interval_inputs(self) -> DataFrame:
+        """One forecast per series hour with model spread sigma, regime k and indeterminacy.
+
+        The regime is that of the last known value on the series' 0..1 scale.
+        """
+        keys = ["event_type"]
+        params = normalise.fit(self.hourly_type, keys, "y")
+        rows = normalise.apply(self.lagged, params, keys, "lag1").withColumn("x", F.array("y_norm"))
+        rows = regimes.assign_soft(regimes.assign_hard(rows, "x", HARD_CENTRES), "x", SOFT_CENTRES)
+        mean = sum((F.col(m) for m in MODELS), F.lit(0.0)) / len(MODELS)
+        gaps = [(F.col(m) - mean) * (F.col(m) - mean) for m in MODELS]
+        sigma = F.sqrt((gaps[0] + gaps[1] + gaps[2]) / len(MODELS))
+        return regimes.tif(rows, "k", "u", N_REGIMES).select(
+            "event_type", "ts", "y", F.col("mean24").alias("yhat"), sigma.alias("sigma"), "k", "indeterminacy"
+        )
+
+    @cached_property
+    def ensemble_rows(self) -> DataFrame:
+        """The long predictions with a per-row uncertainty: a tenth of the prediction's size."""
+        return self.pred_pairs.select(
+            "event_type", "ts", "model", "y", "yhat", (F.abs("yhat") * 0.1).alias("sigma")
+        )
+
     @cached_property
     def emb_xy(self) -> DataFrame:
         return self.table("embeddings").select(
