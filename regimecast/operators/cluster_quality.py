@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from regimecast.operators import clustering, regimes
 from regimecast.operators.ordering import join_params, running_sums
+from regimecast.session import kept
 
 
 @dataclass(frozen=True)
@@ -166,16 +167,13 @@ def recommend_k(
     """Silhouette and inertia for k = 2..K and which k is recommended."""
     if method not in ("silhouette", "elbow"):
         raise ValueError(f"unknown method {method!r}; known: ['elbow', 'silhouette']")
-    rows = df.select(array_to_vector(x).alias("_vec")).persist()
-    try:
-        found = []
+    found = []
+    with kept(df.select(array_to_vector(x).alias("_vec"))) as rows:
         judge = ClusteringEvaluator(predictionCol="prediction", featuresCol="_vec")
         for k in range(2, min(k_max, rows.count() - 1) + 1):
             fits = [KMeans(featuresCol="_vec", k=k, seed=seed + i, maxIter=300).fit(rows) for i in range(n_init)]
             best = min(fits, key=lambda m: m.summary.trainingCost)
             found.append((k, judge.evaluate(best.transform(rows)), best.summary.trainingCost))
-    finally:
-        rows.unpersist()
     if method == "silhouette":
         pick = max(range(len(found)), key=lambda i: found[i][1])
     else:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from regimecast.functions import vectors as vec
 from regimecast.operators import regimes
+from regimecast.session import kept
 
 Centres = Sequence[Sequence[float]]
 
@@ -100,11 +101,8 @@ class FuzzyCMeans(Estimator, _ClusterParams, DefaultParamsReadable, DefaultParam
         rows = df.select(x)
         if width > vec.UNROLLED_WIDTH:
             rows = rows.withColumn("_vec", array_to_vector(x))
-        rows = rows.persist()
-        try:
-            return self._iterate(rows, x, k, m, width)
-        finally:
-            rows.unpersist()
+        with kept(rows) as held:
+            return self._iterate(held, x, k, m, width)
 
     def _iterate(self, rows: DataFrame, x: str, k: int, m: float, width: int) -> "FuzzyCMeansModel":
         def means(row, old: Centres | None) -> list[list[float]]:
@@ -172,9 +170,8 @@ def fit_hard(
     df: DataFrame, x: str, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4
 ) -> tuple[list[list[float]], float]:
     """Centres and inertia of the best of ``n_init`` K-Means fits over cached vectors."""
-    rows = df.select(array_to_vector(x).alias("_vec")).persist()
-    try:
-        best: tuple[list[list[float]], float] | None = None
+    best: tuple[list[list[float]], float] | None = None
+    with kept(df.select(array_to_vector(x).alias("_vec"))) as rows:
         for attempt in range(n_init):
             model = KMeans(
                 featuresCol="_vec", k=k, seed=seed + attempt, maxIter=max_iter, tol=tol
@@ -182,9 +179,7 @@ def fit_hard(
             cost = model.summary.trainingCost
             if best is None or cost < best[1]:
                 best = ([[float(v) for v in c] for c in model.clusterCenters()], cost)
-        return best
-    finally:
-        rows.unpersist()
+    return best
 
 
 class DualClusterer(Estimator, _ClusterParams, DefaultParamsReadable, DefaultParamsWritable):

@@ -314,8 +314,14 @@ def grouped(
 
 
 def join_params(df: DataFrame, params: DataFrame, keys: Keys) -> DataFrame:
-    """Attach per-series parameters. No hint: Spark broadcasts below its size limit, and its
-    adaptive skew join splits a hot series otherwise."""
+    """Attach per-series parameters to every row.
+
+    No broadcast hint: Spark broadcasts a table below its size limit, and its adaptive skew join
+    splits a hot series otherwise. The null-safe match keeps rows whose key is null, and leaves
+    both sides without an inferred not-null filter, so a shared upstream exchange is reused.
+    """
     if not keys:
-        return df.crossJoin(params)  # one row: an aggregate without keys
-    return df.join(params, list(keys), "left")
+        return df.join(F.broadcast(params))  # one row: an aggregate without keys
+    tagged = params.select(*[F.col(c).alias(f"_k_{c}" if c in keys else c) for c in params.columns])
+    match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(tagged[f"_k_{k}"]) for k in keys])
+    return df.join(tagged, match, "left").drop(*[f"_k_{k}" for k in keys])

@@ -20,6 +20,7 @@ from regimecast.plans.forecasting import (
     RegimeForecasterModel,
     model_features,
 )
+from regimecast.session import kept
 
 # Fixed values of the experiment grids.
 NOISE_LEVELS = (0.0, 0.05, 0.10, 0.15, 0.20)
@@ -55,9 +56,11 @@ def _banded(scored: DataFrame) -> DataFrame:
     return scored.withColumns({"lower": F.col("yhat") - half, "upper": F.col("yhat") + half})
 
 
-def proposed_predictions(rows: DataFrame, settings: ForecastSettings, name: str = PROPOSED) -> DataFrame:
+def proposed_predictions(
+    rows: DataFrame, settings: ForecastSettings, name: str = PROPOSED, **stages: object
+) -> DataFrame:
     """Fit on the training split, forecast the test split."""
-    model = RegimeForecaster(settings).fit(_part(rows, "train"))
+    model = RegimeForecaster(settings).fit(_part(rows, "train"), **stages)
     return model.evaluate(rows.drop("split"), _part(rows, "test")).withColumn("model", F.lit(name))
 
 
@@ -116,9 +119,20 @@ def reference_tests(predictions: DataFrame, settings: ForecastSettings, referenc
     return significance.against_reference(predictions, ["dataset"], row_key, reference)
 
 
+def _shared_stages(rows: DataFrame, settings: ForecastSettings) -> tuple[RegimeForecaster, dict[str, object]]:
+    plan, train = RegimeForecaster(settings), _part(rows, "train")
+    prep = plan.preprocessor().fit(train)
+    with kept(prep.transform(train)) as clean:
+        return plan, {"prep": prep, "dual": plan.discover(clean)}
+
+
 def ablation(rows: DataFrame, settings: ForecastSettings, variants: Sequence[str] = VARIANTS) -> DataFrame:
-    """Predictions with real subsets of the features, and a linear model on lags."""
-    frames = [proposed_predictions(rows, replace(settings, variant=v), v) for v in variants]
+    """Predictions with real subsets of the features, and a linear model on lags.
+
+    Preprocessing and regimes are the same for every subset and fitted once.
+    """
+    first, stages = _shared_stages(rows, settings)
+    frames = [proposed_predictions(rows, replace(first.settings, variant=v), v, **stages) for v in variants]
     frames.append(baseline_predictions(rows, settings, ["linear_lags"]))
     return _union(frames)
 
@@ -128,20 +142,24 @@ def sensitivity(
 ) -> DataFrame:
     """RMSE and coverage along each parameter, every run independent of the others.
 
-    Interval parameters do not change the fit, so they share one fitted model.
+    Interval parameters do not change the fit and share one fitted model; the size of the forest
+    does not change the regimes, and nothing here changes the preprocessing.
     """
     grid = SENSITIVITY if grid is None else grid
     train, test, inputs = _part(rows, "train"), _part(rows, "test"), rows.drop("split")
+    _, stages = _shared_stages(rows, settings)
     shared: RegimeForecasterModel | None = None
     scored = []
     for name, values in grid.items():
         for value in values:
             changed = replace(settings, **{name: value})
             if name in ("gamma", "beta"):
-                shared = shared or RegimeForecaster(settings).fit(train)
+                shared = shared or RegimeForecaster(settings).fit(train, **stages)
                 model = replace(shared, settings=replace(shared.settings, **{name: value}))
+            elif name == "trees":
+                model = RegimeForecaster(changed).fit(train, **stages)
             else:
-                model = RegimeForecaster(changed).fit(train)
+                model = RegimeForecaster(changed).fit(train, prep=stages["prep"])
             scored.append(
                 model.evaluate(inputs, test).agg(
                     F.lit(name).alias("parameter"),

@@ -16,7 +16,7 @@ from regimecast.operators.clustering import DualClusterer, DualClustererModel
 from regimecast.operators.forest import UncertainForest, UncertainForestModel
 from regimecast.operators.ordering import over_series, row_index
 from regimecast.operators.preprocess import SeriesPreprocessor, SeriesPreprocessorModel
-from regimecast.session import materialise
+from regimecast.session import kept, materialise
 
 # Fixed names of the feature sets an ablation can choose.
 VARIANTS = (
@@ -98,23 +98,31 @@ def lag_frame(df: DataFrame, settings: ForecastSettings) -> DataFrame:
 class RegimeForecaster:
     settings: ForecastSettings
 
-    def fit(self, train: DataFrame, preprocessed: SeriesPreprocessorModel | None = None) -> "RegimeForecasterModel":
+    def preprocessor(self) -> SeriesPreprocessor:
         s = self.settings
-        prep = preprocessed or SeriesPreprocessor(
-            list(s.keys), [s.ts], s.value, outlier_z=s.outlier_z
-        ).fit(train)
-        clean = prep.transform(train.select(*s.keys, s.ts, s.value)).persist()
-        try:
-            dual = DualClusterer(
-                k=s.n_clusters, fuzziness=s.fuzziness, maxIter=s.cluster_iterations, seed=s.seed,
-                nInit=s.cluster_starts, align=s.align,
-            ).fit(clean.select(F.array("y_norm").alias("x")))
-            found = len(dual.getOrDefault("softCentres"))
-            s = replace(s, n_clusters=found)
+        return SeriesPreprocessor(list(s.keys), [s.ts], s.value, outlier_z=s.outlier_z)
+
+    def discover(self, clean: DataFrame) -> DualClustererModel:
+        s = self.settings
+        return DualClusterer(
+            k=s.n_clusters, fuzziness=s.fuzziness, maxIter=s.cluster_iterations, seed=s.seed,
+            nInit=s.cluster_starts, align=s.align,
+        ).fit(clean.select(F.array("y_norm").alias("x")))
+
+    def fit(
+        self,
+        train: DataFrame,
+        prep: SeriesPreprocessorModel | None = None,
+        dual: DualClustererModel | None = None,
+    ) -> "RegimeForecasterModel":
+        """Fit the stages in order; stages already fitted on the same rows can be passed in."""
+        s = self.settings
+        prep = prep or self.preprocessor().fit(train)
+        with kept(prep.transform(train.select(*s.keys, s.ts, s.value))) as clean:
+            dual = dual or self.discover(clean)
+            s = replace(s, n_clusters=len(dual.getOrDefault("softCentres")))
             rows = regime_columns(lag_frame(clean, s), s, dual).where(F.col("target").isNotNull())
             forest = UncertainForest(s.feature_columns(), "target", s.trees, s.depth, seed=s.seed).fit(rows)
-        finally:
-            clean.unpersist()
         return RegimeForecasterModel(s, prep, dual, forest)
 
 
@@ -135,7 +143,7 @@ class RegimeForecasterModel:
         s, method = self.settings, self.prep.settings.method
         for source, name in (("yhat", "yhat"), ("_lower", "lower"), ("_upper", "upper")):
             scored = normalise.invert(scored, self.prep.params, list(s.keys), source, method, f"_o_{name}")
-        renamed = scored.drop("yhat", "_lower", "_upper", "sigma_units")
+        renamed = scored.drop("yhat", "_lower", "_upper")
         for name in ("yhat", "lower", "upper"):
             renamed = renamed.withColumnRenamed(f"_o_{name}", name)
         return renamed
@@ -143,28 +151,33 @@ class RegimeForecasterModel:
     def score_features(self, df: DataFrame) -> DataFrame:
         return self._intervals(self.forest.transform(regime_columns(df, self.settings, self.dual)))
 
+    def _framed(self, df: DataFrame) -> DataFrame:
+        s = self.settings
+        return lag_frame(self.prep.transform(df.select(*s.keys, s.ts, s.value)), s)
+
     def predict_direct(self, df: DataFrame) -> DataFrame:
         """One forecast per row for the time ``horizon`` rows later, original units.
 
         Rows at the end of a series, whose target lies in the future, have a null ``target_ts``.
         """
         s = self.settings
-        clean = self.prep.transform(df.select(*s.keys, s.ts, s.value))
-        scored = self.score_features(lag_frame(clean, s))
-        out = self._original_units(scored)
+        out = self._original_units(self.score_features(self._framed(df)))
         return out.select(*s.keys, s.ts, "target_ts", "yhat", "lower", "upper", "sigma", "indeterminacy")
 
     def evaluate(self, df: DataFrame, truth: DataFrame | None = None) -> DataFrame:
         """Forecasts next to the truth: (keys, ts, y, yhat, lower, upper) at the target time.
 
         ``truth`` holds the rows to score when they differ from the model's input, for example a
-        test split or a clean copy of noisy input.
+        test split or a clean copy of noisy input. Only those rows reach the forest.
         """
         s = self.settings
-        forecast = self.predict_direct(df).where(F.col("target_ts").isNotNull())
-        forecast = forecast.select(*s.keys, F.col("target_ts").alias(s.ts), "yhat", "lower", "upper")
         truth = df if truth is None else truth
-        return truth.select(*s.keys, s.ts, F.col(s.value).alias("y")).join(forecast, [*s.keys, s.ts])
+        truth = truth.select(*s.keys, F.col(s.ts).alias("target_ts"), F.col(s.value).alias("_truth"))
+        framed = self._framed(df).join(truth, [*s.keys, "target_ts"])
+        out = self._original_units(self.score_features(framed))
+        return out.select(
+            *s.keys, F.col("target_ts").alias(s.ts), F.col("_truth").alias("y"), "yhat", "lower", "upper"
+        )
 
     def predict_recursive(self, df: DataFrame, steps: int = 180, cut_every: int = 10) -> DataFrame:
         """Forecast ``steps`` rows past the end of every series, feeding predictions back.
