@@ -46,14 +46,6 @@ def _length(p: Column | list[Column]) -> Column:
     return F.lit(float(len(p))) if isinstance(p, list) else F.size(p).cast("double")
 
 
-def normalised(p: Column | list[Column]) -> Column | list[Column]:
-    if isinstance(p, list):
-        total = fold(p)
-        return [v / total for v in p]
-    # A one-entry outer array binds the vector, so its total is taken from the bound value.
-    return F.element_at(F.transform(F.array(p), lambda a: F.transform(a, lambda v: v / fold(a))), 1)
-
-
 def is_probability(p: Vector, tol: float = 1e-6) -> Column:
     p = _parts(p)
     if isinstance(p, list):
@@ -63,20 +55,29 @@ def is_probability(p: Vector, tol: float = 1e-6) -> Column:
     return positive & (F.abs(fold(p) - 1.0) <= tol)
 
 
-def distances(x: str | Column, centres: Sequence[Sequence[float]]) -> list[Column]:
-    """Euclidean distance of an array column to every centre, as scalar columns."""
-    x, width = column(x), len(centres[0])
+def distances(
+    x: str | Column, centres: Sequence[Sequence[float] | Column], width: int | None = None
+) -> list[Column]:
+    """Euclidean distance of an array column to every centre, as scalar columns.
+
+    A centre is a list of numbers, or an array column; then give the ``width``.
+    """
+    x = column(x)
+    width = len(centres[0]) if width is None else width
+
+    def whole(c: Sequence[float] | Column) -> Column:
+        return c if isinstance(c, Column) else F.array(*[F.lit(float(v)) for v in c])
+
+    def entry(c: Sequence[float] | Column, d: int) -> Column:
+        return F.get(c, F.lit(d)) if isinstance(c, Column) else F.lit(float(c[d]))
+
     if width == 1:
-        return [F.abs(F.get(x, F.lit(0)) - F.lit(float(c[0]))) for c in centres]
+        return [F.abs(F.get(x, F.lit(0)) - entry(c, 0)) for c in centres]
     if width <= UNROLLED_WIDTH:
         xs = elements(x, width)
-        return [F.sqrt(reduce(add, [(a - float(b)) * (a - float(b)) for a, b in zip(xs, c)])) for c in centres]
-    return [
-        F.sqrt(
-            fold(F.zip_with(x, F.array(*[F.lit(float(b)) for b in c]), lambda a, b: (a - b) * (a - b)))
-        )
-        for c in centres
-    ]
+        gaps = [[a - entry(c, d) for d, a in enumerate(xs)] for c in centres]
+        return [F.sqrt(reduce(add, [g * g for g in row])) for row in gaps]
+    return [F.sqrt(fold(F.zip_with(x, whole(c), lambda a, b: (a - b) * (a - b)))) for c in centres]
 
 
 def nearest(dist: Sequence[Column]) -> Column:
@@ -90,37 +91,28 @@ def first_max(u: Vector) -> Column:
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
 
 
-def memberships(dist: Sequence[Column], fuzziness: float = 2.0) -> list[Column]:
-    """Fuzzy memberships from distances; a row on a centre belongs to the first such centre."""
-    power = -2.0 / (fuzziness - 1.0)
-    at = F.array_position(F.array(*dist), F.lit(0.0))
-    closeness = [1.0 / (d * d) if power == -2.0 else F.pow(d, F.lit(power)) for d in
-                 [F.nullif(d, F.lit(0.0)) for d in dist]]
-    soft = normalised(closeness)
-    return [
-        F.when(at == 0, s).otherwise((at == j + 1).cast("double")) for j, s in enumerate(soft)
-    ]
-
-
 def one_hot(label: str | Column, size: int) -> list[Column]:
     label = column(label)
     return [(label == j).cast("double") for j in range(size)]
 
 
-def _smoothed(p: Column | list[Column], epsilon: float) -> Column | list[Column]:
-    return normalised(each(p, lambda v: v + F.lit(epsilon)))
-
-
 def _scaled(h: Column, most: Column) -> Column:
     return F.when(most > 0, h / most).otherwise(h)
 
 
+def _smoothed(p: Vector, epsilon: float) -> tuple[Column | list[Column], Column]:
+    """Entries with epsilon added, and their total. The measures below are written over both, so
+    that no entry has to be divided by the total first."""
+    parts = each(_parts(p), lambda v: v + F.lit(epsilon))
+    return parts, fold(parts)
+
+
 def shannon(
     p: Vector, base: float = 2.0, normalize: bool = False, epsilon: float = EPSILON
 ) -> Column:
-    p = _parts(p)
-    h = -fold(_smoothed(p, epsilon), lambda v: v * F.log(v)) / math.log(base)
-    return _scaled(h, F.log(_length(p)) / math.log(base)) if normalize else h
+    a, total = _smoothed(p, epsilon)
+    h = (F.log(total) - fold(a, lambda v: v * F.log(v)) / total) / math.log(base)
+    return _scaled(h, F.log(_length(a)) / math.log(base)) if normalize else h
 
 
 def renyi(
@@ -132,15 +124,15 @@ def renyi(
 ) -> Column:
     if alpha == 1.0:
         return shannon(p, base, normalize, epsilon)
-    p = _parts(p)
-    smooth = _smoothed(p, epsilon)
+    a, total = _smoothed(p, epsilon)
     if math.isinf(alpha):
-        top = F.array_max(F.array(*smooth) if isinstance(smooth, list) else smooth)
-        h = -F.log(top) / math.log(base)
+        top = F.array_max(F.array(*a) if isinstance(a, list) else a)
+        h = (F.log(total) - F.log(top)) / math.log(base)
     else:
-        h = F.log(fold(smooth, lambda v: F.pow(v, F.lit(alpha)))) / ((1.0 - alpha) * math.log(base))
+        power = F.log(fold(a, lambda v: F.pow(v, F.lit(alpha)))) - alpha * F.log(total)
+        h = power / ((1.0 - alpha) * math.log(base))
     # Every order reaches log C on the uniform distribution.
-    return _scaled(h, F.log(_length(p)) / math.log(base)) if normalize else h
+    return _scaled(h, F.log(_length(a)) / math.log(base)) if normalize else h
 
 
 def tsallis(
@@ -148,15 +140,17 @@ def tsallis(
 ) -> Column:
     if q == 1.0:
         return shannon(p, 2.0, normalize, epsilon)
-    p = _parts(p)
-    h = (1.0 - fold(_smoothed(p, epsilon), lambda v: F.pow(v, F.lit(q)))) / (q - 1.0)
+    a, total = _smoothed(p, epsilon)
+    h = (1.0 - fold(a, lambda v: F.pow(v, F.lit(q))) / F.pow(total, F.lit(q))) / (q - 1.0)
     if not normalize:
         return h
-    return _scaled(h, (1.0 - F.pow(_length(p), F.lit(1.0 - q))) / (q - 1.0))
+    return _scaled(h, (1.0 - F.pow(_length(a), F.lit(1.0 - q))) / (q - 1.0))
 
 
 def gini_simpson(p: Vector) -> Column:
-    return 1.0 - fold(normalised(_parts(p)), lambda v: v * v)
+    p = _parts(p)
+    total = fold(p)
+    return 1.0 - fold(p, lambda v: v * v) / (total * total)
 
 
 # Fixed names of the side-by-side measures.

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 import numpy as np
 from pyspark import keyword_only
@@ -14,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimecast.functions import vectors as vec
@@ -53,14 +51,19 @@ def hashed_memberships(x: str, k: int, seed: int, keys: Sequence[str] = ()) -> l
         (F.pmod(F.xxhash64(*source, F.lit(j), F.lit(seed)), F.lit(1 << 52)) + 1) / float(1 << 52)
         for j in range(k)
     ]
-    return vec.normalised(unit)
+    total = vec.fold(unit)
+    return [v / total for v in unit]
+
+
+def _power(share: Column, fuzziness: float) -> Column:
+    return share * share if fuzziness == 2.0 else F.pow(share, F.lit(float(fuzziness)))
 
 
 def _centre_sums(x: str, u: list[Column], fuzziness: float, width: int) -> list[Column]:
     """Aggregates holding each cluster's weighted mean and total weight."""
     out = []
     for j, share in enumerate(u):
-        weight = share * share if fuzziness == 2.0 else F.pow(share, F.lit(float(fuzziness)))
+        weight = _power(share, fuzziness)
         if width <= vec.UNROLLED_WIDTH:
             parts = vec.elements(x, width)
             total = F.sum(weight)
@@ -71,15 +74,22 @@ def _centre_sums(x: str, u: list[Column], fuzziness: float, width: int) -> list[
     return out
 
 
+def _one_row(spark: SparkSession, now: Centres, past: Centres) -> DataFrame:
+    rows = [",".join("array(%s)" % ",".join(f"double({v!r})" for v in c) for c in table) for table in (now, past)]
+    return spark.sql(f"SELECT * FROM VALUES (array({rows[0]}), array({rows[1]})) AS t(_now, _past)")
+
+
+def _cols(names: Sequence[str]) -> list[Column]:
+    return [F.col(n) for n in names]
+
+
 def _objective(dist: list[Column], u: list[Column], fuzziness: float) -> Column:
-    return reduce(add, [F.pow(s, F.lit(float(fuzziness))) * d * d for s, d in zip(u, dist)])
+    return vec.fold([_power(s, fuzziness) * d * d for s, d in zip(u, dist)])
 
 
 def fuzzy_objective(df: DataFrame, x: str, centres: Centres, fuzziness: float = 2.0) -> DataFrame:
-    soft = regimes.assign_soft(regimes.centre_distances(df, x, centres, "_d"), x, centres, fuzziness, "_u")
-    k = len(centres)
-    parts = _objective(vec.elements("_d", k), vec.elements("_u", k), fuzziness)
-    return soft.agg(F.sum(parts).alias("objective"))
+    soft, d, u = regimes.soft_columns(df, x, centres, fuzziness)
+    return soft.agg(F.sum(_objective(_cols(d), _cols(u), fuzziness)).alias("objective"))
 
 
 class FuzzyCMeans(Estimator, _ClusterParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -105,7 +115,7 @@ class FuzzyCMeans(Estimator, _ClusterParams, DefaultParamsReadable, DefaultParam
             return self._iterate(held, x, k, m, width)
 
     def _iterate(self, rows: DataFrame, x: str, k: int, m: float, width: int) -> "FuzzyCMeansModel":
-        def means(row, old: Centres | None) -> list[list[float]]:
+        def means(row) -> list[list[float]]:
             # A cluster without weight moves to the origin.
             return [[v if v is not None else 0.0 for v in row[f"_c{j}"]] for j in range(k)]
 
@@ -115,25 +125,29 @@ class FuzzyCMeans(Estimator, _ClusterParams, DefaultParamsReadable, DefaultParam
             k = len(centres)
         else:
             start = rows.withColumn("_u0", F.array(*hashed_memberships(x, k, self._get("seed"))))
-            centres = means(start.agg(*_centre_sums(x, vec.elements("_u0", k), m, width)).first(), None)
+            centres = means(start.agg(*_centre_sums(x, vec.elements("_u0", k), m, width)).first())
             before = None
         history, used = [], 0
+        now_at = [F.get("_now", F.lit(j)) for j in range(k)]
+        past_at = [F.get("_past", F.lit(j)) for j in range(k)]
         for used in range(1, self._get("maxIter") + 1):
-            df = regimes.centre_distances(rows, x, centres, "_d")
-            df = df.withColumn("_u", F.array(*vec.memberships(vec.elements("_d", k), m)))
-            dist, now = vec.elements("_d", k), vec.elements("_u", k)
-            aggs = [*_centre_sums(x, now, m, width), F.sum(_objective(dist, now, m)).alias("_objective")]
-            if before is not None:
-                df = regimes.assign_soft(df, x, before, m, "_p")
-                past = vec.elements("_p", k)
-                change = reduce(add, [(a - b) * (a - b) for a, b in zip(now, past)])
-                aggs.append(F.sqrt(F.sum(change)).alias("_change"))
-            row = df.agg(*aggs).first()
+            # The centres travel as one broadcast row, not as literals, so the compiled code of an
+            # iteration serves the next ones too.
+            held = _one_row(rows.sparkSession, centres, before or centres)
+            df, d, u = regimes.soft_columns(rows.join(F.broadcast(held)), x, now_at, m, "_now_", width)
+            df, _, p = regimes.soft_columns(df, x, past_at, m, "_past_", width)
+            change = vec.fold([(F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(u, p)])
+            aggs = [
+                *_centre_sums(x, _cols(u), m, width),
+                F.sum(_objective(_cols(d), _cols(u), m)).alias("_objective"),
+                F.sqrt(F.sum(change)).alias("_change"),
+            ]
+            row = df.agg(*aggs).collect()[0]
             history.append(float(row["_objective"]))
             if before is not None and row["_change"] < self._get("tol"):
                 break
             if used < self._get("maxIter"):
-                before, centres = centres, means(row, centres)
+                before, centres = centres, means(row)
         model = FuzzyCMeansModel(
             centres=[[float(v) for v in c] for c in centres],
             history=history,

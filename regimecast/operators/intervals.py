@@ -142,14 +142,12 @@ def calibrate_gamma(
 
     All factors are measured in one pass.
     """
-    hit = [
-        (
-            (F.col("y") >= F.col("yhat") - F.lit(g * beta) * F.col(sigma))
-            & (F.col("y") <= F.col("yhat") + F.lit(g * beta) * F.col(sigma))
-        ).cast("double")
-        for g in GRID
-    ]
-    wide = df.groupBy(*keys).agg(F.array(*[F.avg(h) for h in hit]).alias("_cover"))
+    rows = df.withColumns(
+        {"_gap": F.abs(F.col("y") - F.col("yhat")), "_half": F.lit(beta) * F.col(sigma)}
+    )
+    inside = [F.count_if(F.col("_gap") <= F.lit(g) * F.col("_half")) for g in GRID]
+    counts = rows.groupBy(*keys).agg(F.count("_gap").alias("_n"), F.array(*inside).alias("_in"))
+    wide = counts.select(*keys, F.transform("_in", lambda c: c / F.col("_n")).alias("_cover"))
     tried = F.array(
         *[
             F.struct(F.abs(F.get("_cover", F.lit(i)) - target).alias("error"), F.lit(g).alias("gamma"))

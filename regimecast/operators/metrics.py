@@ -263,18 +263,18 @@ def ljung_box(df: DataFrame, keys: Keys, order: Sequence[str], lags: int = 10) -
     """Q statistic and p-value of joint autocorrelation up to ``lags``."""
     resid = df.withColumn("_e", F.col("y") - F.col("yhat"))
     mean = resid.groupBy(*keys).agg(F.avg("_e").alias("_m"))
-    centred = join_params(resid, mean, keys).withColumn("_d", F.col("_e") - F.col("_m"))
     lagged = over_series(
-        centred,
+        resid,
         keys,
         _c(*order),
-        lambda w: {f"_d{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)},
+        lambda w: {f"_e{k}": F.lag("_e", k).over(w) for k in range(1, lags + 1)},
         back=lags,
     )
-    sums = lagged.groupBy(*keys).agg(
-        F.count("_d").alias("_n"),
-        F.sum(F.col("_d") * F.col("_d")).alias("_c0"),
-        *[F.sum(F.col("_d") * F.col(f"_d{k}")).alias(f"_c{k}") for k in range(1, lags + 1)],
+    d = F.col("_e") - F.col("_m")
+    sums = join_params(lagged, mean, keys).groupBy(*keys).agg(
+        F.count("_e").alias("_n"),
+        F.sum(d * d).alias("_c0"),
+        *[F.sum(d * (F.col(f"_e{k}") - F.col("_m"))).alias(f"_c{k}") for k in range(1, lags + 1)],
     )
     n = F.col("_n")
     q = F.lit(0.0)

@@ -32,15 +32,19 @@ def group_limit(df: DataFrame) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the frame, the one behind its own broadcast choice."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+    """Catalyst's size of everything the frame reads: files, cached and local relations.
+
+    The estimate of the whole plan is no use here, because it multiplies the two sides of a join.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def oversized_groups(df: DataFrame, keys: Keys) -> DataFrame | None:
     """Keys with more rows than one task should hold, with their counts; None if there are none.
 
     There are at most rows / limit such keys, so the list stays small however large the table is.
+    Input of a few megabytes cannot hold such a group and is not counted.
     """
     limit = group_limit(df)
     if input_bytes(df) <= _conf(df, SMALL_INPUT_BYTES):
@@ -226,6 +230,15 @@ def neighbours(
     return fill(small, keys, up, down).unionByName(large)
 
 
+def last_rows(df: DataFrame, keys: Keys, ts: str, n: int, name: str = "_back") -> DataFrame:
+    """The last ``n`` rows of every series; ``name`` is 1 for the newest.
+
+    Spark limits each group before the exchange, so a huge series sends only n rows per task.
+    """
+    newest = F.row_number().over(series_window(keys, [F.col(ts).desc()]))
+    return df.withColumn(name, newest).where(F.col(name) <= n)
+
+
 def running_sums(
     df: DataFrame, keys: Keys, order: Sequence[str | Column], sums: dict[str, Column]
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from regimecast.functions.tails import normal_quantile
 from regimecast.operators import normalise, regimes
 from regimecast.operators.clustering import DualClusterer, DualClustererModel
 from regimecast.operators.forest import UncertainForest, UncertainForestModel
-from regimecast.operators.ordering import over_series, row_index
+from regimecast.operators.ordering import last_rows, over_series
 from regimecast.operators.preprocess import SeriesPreprocessor, SeriesPreprocessorModel
 from regimecast.session import kept, materialise
 
@@ -188,7 +188,7 @@ class RegimeForecasterModel:
         s = self.settings
         keys, depth = list(s.keys), max(s.lags) + 1
         clean = self.prep.transform(df.select(*keys, s.ts, s.value))
-        back = row_index(clean, keys, [F.col(s.ts).desc()], "_back").where(F.col("_back") < depth)
+        back = last_rows(clean, keys, s.ts, depth)
         state = back.groupBy(*keys).agg(
             F.transform(
                 F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("i"), F.col("y_norm").alias("v")))),
