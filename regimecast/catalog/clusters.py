@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regimecast.catalog.registry import define_view, query
+from regimecast.catalog.registry import define_view, query, rounded
 from regimecast.functions import vectors as vec
 from regimecast.operators import cluster_quality as cq
 from regimecast.operators import clustering, regimes
@@ -14,7 +14,7 @@ ITERATIONS = 4  # the given centres count as the first, so three updates follow
 
 
 def _r(df, *names):
-    return df.withColumns({n: F.round(n, 6) + 0.0 for n in names})
+    return df.withColumns({n: rounded(n) for n in names})
 
 
 # --- fuzzy C-means on one dimension --------------------------------------------------------

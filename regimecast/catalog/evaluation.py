@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regimecast.catalog.registry import define_view, query
+from regimecast.catalog.registry import define_view, query, rounded
 from regimecast.functions.tails import normal_quantile
 from regimecast.operators import ensemble, intervals, metrics
 from regimecast.operators import significance as sig
@@ -17,7 +17,7 @@ ROW = ["event_type", "ts"]
 
 def _r(df, *names, digits=6):
     names = names or [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
+    return df.withColumns({n: rounded(n, digits) for n in names})
 
 
 def _sql(columns: dict[str, str], digits=6) -> str:

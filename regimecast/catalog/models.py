@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from regimecast.catalog.registry import define_view, query
+from regimecast.catalog.registry import define_view, query, rounded
 from regimecast.functions.tails import normal_quantile
 from regimecast.operators import ensemble, features, forest, intervals, metrics
 from regimecast.plans import etl, experiments
@@ -33,7 +33,7 @@ POINT_NAMES = ("rmse", "mae", "r2")
 
 def _r(df, *names):
     names = names or [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    return df.withColumns({n: F.round(n, 6) + 0.0 for n in names})
+    return df.withColumns({n: rounded(n) for n in names})
 
 
 # --- sources and sinks ----------------------------------------------------------------------
@@ -187,7 +187,7 @@ define_view(
 def _(v):
     train, test, x = _lagged_split(v, 1)
     out = forest.linear_lags(train, test, x).select(*ROW, "y", "yhat", "lower", "upper")
-    return out.withColumns({c: F.round(c, 4) + 0.0 for c in ("yhat", "lower", "upper")})
+    return out.withColumns({c: rounded(c, 4) for c in ("yhat", "lower", "upper")})
 
 
 @query("mdl9_linear_lags_full")
@@ -346,9 +346,9 @@ def _(v):
 @query(
     "win2_table_features",
     """SELECT ts, round(y_rolling_mean_24, 6) AS y_rolling_mean_24, y_lag_168, is_weekend FROM (SELECT ts,
-        avg(y) OVER (ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) + 1e-9 AS y_rolling_mean_24, lag(y, 168) OVER (ORDER BY ts) AS y_lag_168,
+        avg(y) OVER (ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS y_rolling_mean_24, lag(y, 168) OVER (ORDER BY ts) AS y_lag_168,
         (isodow(ts) >= 6)::INTEGER AS is_weekend FROM daily_orders) WHERE y_lag_168 IS NOT NULL""",
 )
 def _(v):
     out = features.add_table_features(v.daily_orders, [], "ts", "y")
-    return out.select("ts", F.round(F.col("y_rolling_mean_24") + 1e-9, 6).alias("y_rolling_mean_24"), "y_lag_168", "is_weekend")
+    return out.select("ts", rounded(F.col("y_rolling_mean_24")).alias("y_rolling_mean_24"), "y_lag_168", "is_weekend")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regimecast.catalog.registry import define_view, query
+from regimecast.catalog.registry import define_view, query, rounded
 from regimecast.catalog.series import DESCRIBE
 from regimecast.functions import vectors as vec
 from regimecast.operators import regimes, summary, uncertainty
@@ -40,11 +40,11 @@ define_view(
 
 
 def _rounded(df, *names, digits=6):
-    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
+    return df.withColumns({n: rounded(n, digits) for n in names})
 
 
 def _u(digits=6):
-    return [(F.round(F.get("u", F.lit(j)), digits) + 0.0).alias(f"u{j}") for j in range(N_REGIMES)]
+    return [rounded(F.get("u", F.lit(j)), digits).alias(f"u{j}") for j in range(N_REGIMES)]
 
 
 # --- assignment with given centres --------------------------------------------------------
@@ -61,7 +61,7 @@ def _(v):
 )
 def _(v):
     out = regimes.centre_distances(v.norm_user, "x", SOFT_CENTRES)
-    return out.select("user_id", "ts", *[F.round(F.get("dist", F.lit(j)), 6).alias(f"d{j}") for j in range(3)])
+    return out.select("user_id", "ts", *[rounded(F.get("dist", F.lit(j))).alias(f"d{j}") for j in range(3)])
 
 
 @query(
@@ -94,7 +94,7 @@ def _(v):
     from regimecast.operators import clustering
 
     out = clustering.fuzzy_objective(v.norm_user, "x", SOFT_CENTRES, 2.0)
-    return out.select(F.round("objective", 6).alias("objective"))
+    return out.select(rounded("objective").alias("objective"))
 
 
 @query(
@@ -113,7 +113,7 @@ def _(v):
 def _(v):
     soft = regimes.assign_soft(v.norm_user, "x", SOFT_CENTRES)
     h = vec.shannon(vec.elements("u", N_REGIMES))
-    return soft.select("user_id", "ts", (F.round(h, 6) + 0.0).alias("entropy"))
+    return soft.select("user_id", "ts", rounded(h).alias("entropy"))
 
 
 @query(
@@ -149,7 +149,7 @@ def _(v):
 )
 def _(v):
     out = regimes.integrated_features(v.tif_user, "k", "u", N_REGIMES)
-    cols = [(F.round(F.get("features", F.lit(j)), 6) + 0.0).alias(f"f{j}") for j in range(2 * N_REGIMES)]
+    cols = [rounded(F.get("features", F.lit(j))).alias(f"f{j}") for j in range(2 * N_REGIMES)]
     return out.select("user_id", "ts", *cols)
 
 
@@ -203,7 +203,7 @@ def _entropy_query(name: str, columns: dict[str, str], measures):
     @query(name, f"SELECT user_id, ts, {body} FROM prob_user")
     def _(v):
         picked = measures()
-        return v.tif_user.select("user_id", "ts", *[(F.round(c, 6) + 0.0).alias(n) for n, c in picked.items()])
+        return v.tif_user.select("user_id", "ts", *[rounded(c).alias(n) for n, c in picked.items()])
 
 
 def _parts():
@@ -466,13 +466,13 @@ def _(v):
 
 @query(
     "win7_transition_summary",
-    """SELECT user_id, points, round(points / n, 6) AS ratio, coalesce(r, 0) AS regions, round(coalesce(l, 0.0) + 1e-9, 6) AS mean_length
+    """SELECT user_id, points, round(points / n, 6) AS ratio, coalesce(r, 0) AS regions, round(coalesce(l, 0.0), 6) AS mean_length
        FROM (SELECT user_id, count(*) AS n, count(*) FILTER (indeterminacy > 0.7) AS points FROM tif_user GROUP BY 1)
        LEFT JOIN (SELECT user_id, count(*) AS r, avg(length) AS l FROM regions GROUP BY 1) USING (user_id)""",
 )
 def _(v):
     out = uncertainty.transition_summary(v.tif_user, USER, ["ts"])
-    return out.withColumns({"ratio": F.round("ratio", 6), "mean_length": F.round(F.col("mean_length") + 1e-9, 6)})
+    return out.withColumns({"ratio": rounded("ratio"), "mean_length": rounded(F.col("mean_length"))})
 
 
 @query(

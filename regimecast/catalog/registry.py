@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from regimecast.sources.views import Views
 
@@ -59,6 +60,36 @@ def define_view(name: str, sql: str) -> None:
     VIEW_SQL[name] = sql
 
 
+# A mean over a power of two of cent amounts ends on an exact half digit, which the last bit of a
+# sum would round either way. Both sides add this before rounding a result, so that every such half
+# goes upwards.
+NUDGE = 1e-9
+
+
+def rounded(value: str | Column, digits: int = 6) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    return F.round(value + NUDGE, digits) + 0.0
+
+
+def nudge(sql: str) -> str:
+    """The same for each round(x, 4) and round(x, 6) of a statement."""
+    at = sql.find("round(")
+    if at < 0:
+        return sql
+    start = at + len("round(")
+    depth, comma, end = 1, start, start
+    while depth:
+        char = sql[end]
+        depth += (char in "([") - (char in ")]")
+        if char == "," and depth == 1:
+            comma = end
+        end += 1
+    value, digits = nudge(sql[start:comma]), sql[comma + 1 : end - 1].strip()
+    if digits in ("4", "6"):
+        value = f"({value}) + {NUDGE!r}"
+    return f"{sql[:start]}{value}, {digits}){nudge(sql[end:])}"
+
+
 def _needed(sql: str, found: list[str]) -> None:
     for name, body in VIEW_SQL.items():
         if name not in found and re.search(rf"\b{name}\b", sql):
@@ -72,7 +103,7 @@ def expand(sql: str) -> str:
     found: list[str] = []
     _needed(sql, found)
     ctes = [f"{n} AS MATERIALIZED ({VIEW_SQL[n]})" for n in found]
-    body = sql.strip()
+    body = nudge(sql.strip())
     if body.upper().startswith("WITH "):
         ctes.append(body[5:])
         return "WITH " + ",\n".join(ctes)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regimecast.catalog.registry import query
+from regimecast.catalog.registry import query, rounded
 from regimecast.functions import calendar as cal
 from regimecast.functions import scalars as sc
 from regimecast.functions import vectors as vec
@@ -112,7 +112,7 @@ def _(v):
     both = {**cal.time_features("ts"), **cal.table_time_features("ts")}
     wanted = {n: c for n, c in both.items() if n.endswith(("_sin", "_cos"))}
     return v.table("events").select(
-        "event_id", *[(F.round(c, 6) + 0.0).alias(n) for n, c in wanted.items()]
+        "event_id", *[rounded(c).alias(n) for n, c in wanted.items()]
     )
 
 
@@ -127,7 +127,7 @@ def _(v):
     return v.table("events").groupBy("event_type").agg(
         first.alias("start_ts"),
         last.alias("end_ts"),
-        F.round(cal.span_days(first, last), 6).alias("span_days"),
+        rounded(cal.span_days(first, last)).alias("span_days"),
     )
 
 
@@ -193,8 +193,8 @@ def _(v):
     return v.uv.select(
         "l_orderkey",
         "l_linenumber",
-        F.round(sc.magnitude("u", "v"), 6).alias("speed"),
-        (F.round(sc.bearing("u", "v"), 6) + 0.0).alias("bearing"),
+        rounded(sc.magnitude("u", "v")).alias("speed"),
+        rounded(sc.bearing("u", "v")).alias("bearing"),
     )
 
 
@@ -206,7 +206,7 @@ def _(v):
 def _(v):
     circle = sc.degree_circle("dir", F.col("u") * 7.2)
     return v.uv.select(
-        "l_orderkey", "l_linenumber", *[(F.round(c, 6) + 0.0).alias(n) for n, c in circle.items()]
+        "l_orderkey", "l_linenumber", *[rounded(c).alias(n) for n, c in circle.items()]
     )
 
 
@@ -222,7 +222,7 @@ def _(v):
     y = F.col("y")
     df = v.hourly_type.withColumn("deg", F.round(y - 360.0 * F.floor(y / 360.0), 2))
     out = features.circular_variability(df, ["event_type"], ["ts"], "deg", scale=1000.0, name="output")
-    return out.select("event_type", "ts", F.round("output", 6).alias("output"))
+    return out.select("event_type", "ts", rounded("output").alias("output"))
 
 
 @query(
@@ -231,7 +231,7 @@ def _(v):
 )
 def _(v):
     return v.pred_pairs.select(
-        "event_type", "ts", "model", F.round(features.band_width("lower", "upper"), 4).alias("width")
+        "event_type", "ts", "model", rounded(features.band_width("lower", "upper"), 4).alias("width")
     )
 
 
@@ -244,7 +244,7 @@ def _(v):
 def _(v):
     params = normalise.fit(v.hourly_type, ["event_type"], "y")
     out = normalise.apply(v.hourly_type, params, ["event_type"], "y", "min_max")
-    return out.select("event_type", "ts", F.round("y_norm", 6).alias("y_norm"))
+    return out.select("event_type", "ts", rounded("y_norm").alias("y_norm"))
 
 
 @query(
@@ -256,7 +256,7 @@ def _(v):
 def _(v):
     params = normalise.fit(v.hourly_user, ["user_id"], "y")
     out = normalise.apply(v.hourly_user, params, ["user_id"], "y", "z_score")
-    return out.select("user_id", "ts", F.round("y_norm", 6).alias("y_norm"))
+    return out.select("user_id", "ts", rounded("y_norm").alias("y_norm"))
 
 
 @query(
@@ -271,7 +271,7 @@ def _(v):
     df = normalise.invert(df, params, keys, "a", "min_max", name="y_min_max")
     df = normalise.invert(df, params, keys, "b", "z_score", name="y_z")
     return df.select(
-        "event_type", "ts", F.round("y_min_max", 4).alias("y_min_max"), F.round("y_z", 4).alias("y_z")
+        "event_type", "ts", rounded("y_min_max", 4).alias("y_min_max"), rounded("y_z", 4).alias("y_z")
     )
 
 
@@ -281,7 +281,7 @@ def _(v):
 )
 def _(v):
     return v.uv.select(
-        "l_orderkey", "l_linenumber", F.round(sc.safe_divide("u", "v", -1.0), 6).alias("ratio")
+        "l_orderkey", "l_linenumber", rounded(sc.safe_divide("u", "v", -1.0)).alias("ratio")
     )
 
 
@@ -305,6 +305,6 @@ def _(v):
     return v.table("lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        F.round(sc.transfer_curve("l_quantity"), 6).alias("output"),
-        F.round(sc.derate("l_extendedprice", "l_discount"), 6).alias("derated"),
+        rounded(sc.transfer_curve("l_quantity")).alias("output"),
+        rounded(sc.derate("l_extendedprice", "l_discount")).alias("derated"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regimecast.catalog.registry import define_view, query
+from regimecast.catalog.registry import define_view, query, rounded
 from regimecast.functions.calendar import hour_number
 from regimecast.operators import clean, features, normalise, quality, summary
 from regimecast.operators.ordering import join_params
@@ -13,17 +13,8 @@ from regimecast.operators.preprocess import SeriesPreprocessor
 TYPE = ["event_type"]
 
 
-# Means over a power of two of cent amounts end on an exact half digit, which the last bit of a
-# sum would round either way; the nudge sends every such half upwards on both sides.
-NUDGE = 1e-9
-
-
 def _r(name: str, digits: int = 6):
-    return F.round(name, digits).alias(name)
-
-
-def _nudged(name: str, digits: int = 6):
-    return (F.round(F.col(name) + NUDGE, digits) + 0.0).alias(name)
+    return rounded(name, digits).alias(name)
 
 
 # --- cleaning ---------------------------------------------------------------------------
@@ -119,7 +110,7 @@ def _(v):
 )
 def _(v):
     out = quality.completeness(v.hourly_gappy, TYPE, "y")
-    return out.withColumn("missing_ratio", F.round("missing_ratio", 6))
+    return out.withColumn("missing_ratio", rounded("missing_ratio"))
 
 
 VALUE_QUALITY = """SELECT event_type, round(avg((y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1))::INTEGER), 6) AS outlier_ratio,
@@ -136,7 +127,7 @@ define_view("dirty_quality", VALUE_QUALITY.format(source="hourly_dirty"))
 )
 def _(v):
     out = quality.value_quality(v.hourly_gappy, TYPE, "y")
-    return out.withColumn("outlier_ratio", F.round("outlier_ratio", 6))
+    return out.withColumn("outlier_ratio", rounded("outlier_ratio"))
 
 
 define_view(
@@ -156,7 +147,7 @@ define_view(
 )
 def _(v):
     out = quality.temporal(v.hourly_dirty, TYPE, "ts")
-    return out.withColumn("regular_ratio", F.round("regular_ratio", 6))
+    return out.withColumn("regular_ratio", rounded("regular_ratio"))
 
 
 @query(
@@ -168,7 +159,7 @@ def _(v):
 )
 def _(v):
     out = quality.temporal(v.table("events"), TYPE, "ts", ingest_order="event_id")
-    return out.withColumn("regular_ratio", F.round("regular_ratio", 6))
+    return out.withColumn("regular_ratio", rounded("regular_ratio"))
 
 
 RANGES = """SELECT event_type, count(*) FILTER (y > {top}) AS large_values,
@@ -183,7 +174,7 @@ define_view("dirty_ranges", RANGES.format(top=10000, source="hourly_dirty"))
 )
 def _(v):
     out = quality.value_ranges(v.hourly_gappy, TYPE, "y", max_value=500.0, max_variation=0.5)
-    return out.withColumn("variation", F.round("variation", 6))
+    return out.withColumn("variation", rounded("variation"))
 
 
 @query(
@@ -267,16 +258,16 @@ DESCRIBE = """SELECT {keys}, count(*) AS count, round(avg({y}), 4) AS mean, roun
 )
 def _(v):
     out = summary.describe(v.hourly_gappy, TYPE, "y")
-    rounded = ("mean", "std", "median", "q25", "q75", "skewness", "kurtosis")
-    return out.withColumns({c: F.round(c, 4) for c in rounded})
+    names = ("mean", "std", "median", "q25", "q75", "skewness", "kurtosis")
+    return out.withColumns({c: rounded(c, 4) for c in names})
 
 
 @query(
     "agg3_hour_profile",
-    "SELECT event_type, hour(ts)::INTEGER AS part, round(avg(y) + 1e-9, 6) + 0.0 AS mean FROM hourly_type GROUP BY 1, 2",
+    "SELECT event_type, hour(ts)::INTEGER AS part, round(avg(y), 6) + 0.0 AS mean FROM hourly_type GROUP BY 1, 2",
 )
 def _(v):
-    return summary.profile(v.hourly_type, TYPE, F.hour("ts"), "y").withColumn("mean", _nudged("mean"))
+    return summary.profile(v.hourly_type, TYPE, F.hour("ts"), "y").withColumn("mean", _r("mean"))
 
 
 @query(
@@ -287,7 +278,7 @@ def _(v):
 def _(v):
     prof = summary.profile(v.daily_orders, [], F.month("ts"), "y")
     out = summary.profile_extremes(prof, [])
-    return out.withColumns({c: F.round(c, 4) for c in ("peak_mean", "low_mean")})
+    return out.withColumns({c: rounded(c, 4) for c in ("peak_mean", "low_mean")})
 
 
 @query(
@@ -375,32 +366,32 @@ def _(v):
     "win2_rolling",
     """SELECT event_type, ts, """
     + ", ".join(
-        f"""round(avg(y) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) + 1e-9, 6) + 0.0 AS rolling_mean_{n},
-        round(stddev_samp(y) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) + 1e-9, 6) + 0.0 AS rolling_std_{n}"""
+        f"""round(avg(y) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) + 0.0 AS rolling_mean_{n},
+        round(stddev_samp(y) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) + 0.0 AS rolling_std_{n}"""
         for n in (24, 168)
     )
     + " FROM hourly_type WINDOW w AS (PARTITION BY event_type ORDER BY ts)",
 )
 def _(v):
     out = features.add_rolling(v.hourly_type, TYPE, ["ts"], "y")
-    return out.select("event_type", "ts", *[_nudged(c) for c in out.columns if c.startswith("rolling")])
+    return out.select("event_type", "ts", *[_r(c) for c in out.columns if c.startswith("rolling")])
 
 
 def _moving_sql(measure: str) -> str:
-    return f"""SELECT event_type, ts, round(m + 1e-9, 6) + 0.0 AS m FROM (SELECT event_type, ts, row_number() OVER w AS rn,
+    return f"""SELECT event_type, ts, round(m, 6) + 0.0 AS m FROM (SELECT event_type, ts, row_number() OVER w AS rn,
         {measure}(y) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m
         FROM hourly_type WINDOW w AS (PARTITION BY event_type ORDER BY ts)) WHERE rn >= 10"""
 
 
 @query("win3_moving_average", _moving_sql("avg"))
 def _(v):
-    return features.moving(v.hourly_type, TYPE, ["ts"], "y", 10, F.avg, "m").select("event_type", "ts", _nudged("m"))
+    return features.moving(v.hourly_type, TYPE, ["ts"], "y", 10, F.avg, "m").select("event_type", "ts", _r("m"))
 
 
 @query("win4_moving_deviation", _moving_sql("stddev_pop"))
 def _(v):
     out = features.moving(v.hourly_type, TYPE, ["ts"], "y", 10, F.stddev_pop, "m")
-    return out.select("event_type", "ts", _nudged("m"))
+    return out.select("event_type", "ts", _r("m"))
 
 
 @query(
@@ -422,7 +413,7 @@ def _(v):
 )
 def _(v):
     out = features.difference(v.hourly_type, TYPE, ["ts"], "y")
-    return out.select("event_type", "ts", (F.round("diff", 4) + 0.0).alias("diff"), (F.col("diff") > 0).alias("rising"))
+    return out.select("event_type", "ts", rounded("diff", 4).alias("diff"), (F.col("diff") > 0).alias("rising"))
 
 
 @query(
@@ -489,18 +480,18 @@ def _(v):
     errors = v.pred_pairs.withColumn("e", F.col("y") - F.col("yhat"))
     wide = errors.groupBy("event_type", "ts").pivot("model", ["lag1", "lag24", "mean24"]).agg(F.first("e"))
     kept = wide.na.drop(how="any")
-    return kept.select("event_type", "ts", *[(F.round(m, 6) + 0.0).alias(m) for m in ("lag1", "lag24", "mean24")])
+    return kept.select("event_type", "ts", *[rounded(m).alias(m) for m in ("lag1", "lag24", "mean24")])
 
 
 @query(
     "jon3_apply_params",
-    """SELECT user_id, ts, round(y - mu + 1e-9, 6) + 0.0 AS centred FROM hourly_user
+    """SELECT user_id, ts, round(y - mu, 6) + 0.0 AS centred FROM hourly_user
        JOIN (SELECT user_id, avg(y) AS mu FROM hourly_user GROUP BY 1) USING (user_id)""",
 )
 def _(v):
     params = normalise.fit(v.hourly_user, ["user_id"], "y").select("user_id", "mu")
     out = join_params(v.hourly_user, params, ["user_id"])
-    return out.select("user_id", "ts", (F.round(F.col("y") - F.col("mu") + NUDGE, 6) + 0.0).alias("centred"))
+    return out.select("user_id", "ts", rounded(F.col("y") - F.col("mu")).alias("centred"))
 
 
 @query(
