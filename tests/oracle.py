@@ -1,4 +1,7 @@
-"""Run registered queries and their SQL twins side by side: python -m tests.oracle [pattern ...]"""
+"""Run registered queries and their SQL twins side by side: python -m tests.oracle [prefix ...]
+
+The single word "sql" picks every query that has a twin.
+"""
 
 from __future__ import annotations
 
@@ -75,7 +78,10 @@ def main(patterns: list[str]) -> int:
     con = duck()
     bad = 0
     for name in entry.queries():
-        if patterns and not any(name.startswith(p) for p in patterns):
+        if patterns == ["sql"]:
+            if name not in entry.oracle_sql():
+                continue
+        elif patterns and not any(name.startswith(p) for p in patterns):
             continue
         began = time.time()
         try:
