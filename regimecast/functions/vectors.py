@@ -55,29 +55,36 @@ def is_probability(p: Vector, tol: float = 1e-6) -> Column:
     return positive & (F.abs(fold(p) - 1.0) <= tol)
 
 
-def distances(
-    x: str | Column, centres: Sequence[Sequence[float] | Column], width: int | None = None
-) -> list[Column]:
-    """Euclidean distance of an array column to every centre, as scalar columns.
+def distance_exprs(x: str, centres: Sequence[Sequence[float]] | str, k: int, width: int) -> list[str]:
+    """SQL text of the Euclidean distance of an array column to each of ``k`` centres.
 
-    A centre is a list of numbers, or an array column; then give the ``width``.
+    The centres are numbers, or the name of an array<array<double>> column. Text goes to the
+    planner in one piece; the same tree built call by call costs more than a small job.
     """
-    x = column(x)
-    width = len(centres[0]) if width is None else width
 
-    def whole(c: Sequence[float] | Column) -> Column:
-        return c if isinstance(c, Column) else F.array(*[F.lit(float(v)) for v in c])
+    def entry(j: int, d: int) -> str:
+        return f"get(get({centres}, {j}), {d})" if isinstance(centres, str) else f"{float(centres[j][d])!r}D"
 
-    def entry(c: Sequence[float] | Column, d: int) -> Column:
-        return F.get(c, F.lit(d)) if isinstance(c, Column) else F.lit(float(c[d]))
+    def whole(j: int) -> str:
+        if isinstance(centres, str):
+            return f"get({centres}, {j})"
+        return "array(" + ", ".join(entry(j, d) for d in range(width)) + ")"
 
     if width == 1:
-        return [F.abs(F.get(x, F.lit(0)) - entry(c, 0)) for c in centres]
+        return [f"abs(get({x}, 0) - {entry(j, 0)})" for j in range(k)]
     if width <= UNROLLED_WIDTH:
-        xs = elements(x, width)
-        gaps = [[a - entry(c, d) for d, a in enumerate(xs)] for c in centres]
-        return [F.sqrt(reduce(add, [g * g for g in row])) for row in gaps]
-    return [F.sqrt(fold(F.zip_with(x, whole(c), lambda a, b: (a - b) * (a - b)))) for c in centres]
+        square = "power(get({x}, {d}) - {c}, 2D)"
+        return [
+            "sqrt(" + " + ".join(square.format(x=x, d=d, c=entry(j, d)) for d in range(width)) + ")"
+            for j in range(k)
+        ]
+    total = "sqrt(aggregate(zip_with({x}, {c}, (a, b) -> (a - b) * (a - b)), 0D, (s, v) -> s + v))"
+    return [total.format(x=x, c=whole(j)) for j in range(k)]
+
+
+def distances(x: str, centres: Sequence[Sequence[float]]) -> list[Column]:
+    """Euclidean distance of an array column to every centre, as scalar columns."""
+    return [F.expr(e) for e in distance_exprs(x, centres, len(centres), len(centres[0]))]
 
 
 def nearest(dist: Sequence[Column]) -> Column:

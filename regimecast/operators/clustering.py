@@ -55,41 +55,36 @@ def hashed_memberships(x: str, k: int, seed: int, keys: Sequence[str] = ()) -> l
     return [v / total for v in unit]
 
 
-def _power(share: Column, fuzziness: float) -> Column:
-    return share * share if fuzziness == 2.0 else F.pow(share, F.lit(float(fuzziness)))
+def _power(share: str, fuzziness: float) -> str:
+    return f"{share} * {share}" if fuzziness == 2.0 else f"power({share}, {float(fuzziness)!r}D)"
 
 
-def _centre_sums(x: str, u: list[Column], fuzziness: float, width: int) -> list[Column]:
-    """Aggregates holding each cluster's weighted mean and total weight."""
+def _centre_sums(x: str, u: Sequence[str], fuzziness: float, width: int) -> list[Column]:
+    """Aggregates holding each cluster's weighted mean."""
     out = []
     for j, share in enumerate(u):
         weight = _power(share, fuzziness)
         if width <= vec.UNROLLED_WIDTH:
-            parts = vec.elements(x, width)
-            total = F.sum(weight)
-            out.append(F.array(*[F.sum(weight * p) / F.nullif(total, F.lit(0.0)) for p in parts]).alias(f"_c{j}"))
+            means = [f"sum({weight} * get({x}, {d})) / nullif(sum({weight}), 0D)" for d in range(width)]
+            out.append(F.expr(f"array({', '.join(means)})").alias(f"_c{j}"))
         else:
-            mean = Summarizer.metrics("mean").summary(F.col("_vec"), weight).getField("mean")
+            mean = Summarizer.metrics("mean").summary(F.col("_vec"), F.expr(weight)).getField("mean")
             out.append(vector_to_array(mean).alias(f"_c{j}"))
     return out
 
 
 def _one_row(spark: SparkSession, now: Centres, past: Centres) -> DataFrame:
-    rows = [",".join("array(%s)" % ",".join(f"double({v!r})" for v in c) for c in table) for table in (now, past)]
+    rows = [",".join("array(%s)" % ",".join(f"{float(v)!r}D" for v in c) for c in table) for table in (now, past)]
     return spark.sql(f"SELECT * FROM VALUES (array({rows[0]}), array({rows[1]})) AS t(_now, _past)")
 
 
-def _cols(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]
-
-
-def _objective(dist: list[Column], u: list[Column], fuzziness: float) -> Column:
-    return vec.fold([_power(s, fuzziness) * d * d for s, d in zip(u, dist)])
+def _objective(dist: Sequence[str], u: Sequence[str], fuzziness: float) -> Column:
+    return F.expr("sum(" + " + ".join(f"{_power(s, fuzziness)} * {d} * {d}" for s, d in zip(u, dist)) + ")")
 
 
 def fuzzy_objective(df: DataFrame, x: str, centres: Centres, fuzziness: float = 2.0) -> DataFrame:
-    soft, d, u = regimes.soft_columns(df, x, centres, fuzziness)
-    return soft.agg(F.sum(_objective(_cols(d), _cols(u), fuzziness)).alias("objective"))
+    soft, d, u = regimes.soft_columns(df, x, centres, len(centres), len(centres[0]), fuzziness)
+    return soft.agg(_objective(d, u, fuzziness).alias("objective"))
 
 
 class FuzzyCMeans(Estimator, _ClusterParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -119,28 +114,26 @@ class FuzzyCMeans(Estimator, _ClusterParams, DefaultParamsReadable, DefaultParam
             # A cluster without weight moves to the origin.
             return [[v if v is not None else 0.0 for v in row[f"_c{j}"]] for j in range(k)]
 
+        before: Centres | None = None
         if self.isSet(self.initCentres):
-            before: Centres | None = None
             centres = self._get("initCentres")
             k = len(centres)
         else:
-            start = rows.withColumn("_u0", F.array(*hashed_memberships(x, k, self._get("seed"))))
-            centres = means(start.agg(*_centre_sums(x, vec.elements("_u0", k), m, width)).first())
-            before = None
+            names = [f"_u{j}" for j in range(k)]
+            start = rows.withColumns(dict(zip(names, hashed_memberships(x, k, self._get("seed")))))
+            centres = means(start.agg(*_centre_sums(x, names, m, width)).first())
         history, used = [], 0
-        now_at = [F.get("_now", F.lit(j)) for j in range(k)]
-        past_at = [F.get("_past", F.lit(j)) for j in range(k)]
         for used in range(1, self._get("maxIter") + 1):
             # The centres travel as one broadcast row, not as literals, so the compiled code of an
             # iteration serves the next ones too.
-            held = _one_row(rows.sparkSession, centres, before or centres)
-            df, d, u = regimes.soft_columns(rows.join(F.broadcast(held)), x, now_at, m, "_now_", width)
-            df, _, p = regimes.soft_columns(df, x, past_at, m, "_past_", width)
-            change = vec.fold([(F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(u, p)])
+            held = F.broadcast(_one_row(rows.sparkSession, centres, before or centres))
+            df, d, u = regimes.soft_columns(rows.join(held), x, "_now", k, width, m, "_now_")
+            df, _, p = regimes.soft_columns(df, x, "_past", k, width, m, "_past_")
+            change = " + ".join(f"({a} - {b}) * ({a} - {b})" for a, b in zip(u, p))
             aggs = [
-                *_centre_sums(x, _cols(u), m, width),
-                F.sum(_objective(_cols(d), _cols(u), m)).alias("_objective"),
-                F.sqrt(F.sum(change)).alias("_change"),
+                *_centre_sums(x, u, m, width),
+                _objective(d, u, m).alias("_objective"),
+                F.expr(f"sqrt(sum({change}))").alias("_change"),
             ]
             row = df.agg(*aggs).collect()[0]
             history.append(float(row["_objective"]))

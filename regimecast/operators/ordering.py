@@ -77,10 +77,12 @@ def series_window(keys: Keys, order: Sequence[str | Column]) -> WindowSpec:
     return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
 
 
-def _ranged_index(df: DataFrame, keys: Keys, order: Sequence[str | Column], name: str) -> DataFrame:
-    limit = group_limit(df)
-    total = df.count()
-    parts = max(2, -(-2 * total // limit))
+def _ranged_index(
+    df: DataFrame, keys: Keys, order: Sequence[str | Column], name: str, big: DataFrame
+) -> DataFrame:
+    """Positions by a range-partitioned sort, in tasks of about half the group limit."""
+    total = sum(row["_n"] for row in big.collect())
+    parts = max(2, -(-2 * total // group_limit(df)))
     by = [*[F.col(k) for k in keys], *order]
     ranged = materialise(
         df.repartitionByRange(parts, *by)
@@ -126,7 +128,7 @@ def row_index(
     if big is None:
         return plain(df)
     small, large = _split(df, keys, big)
-    large = _ranged_index(large, keys, order, name)
+    large = _ranged_index(large, keys, order, name, big)
     return large if small is None else plain(small).unionByName(large)
 
 
@@ -151,7 +153,7 @@ def over_series(
         return df.withColumns(build(series_window(keys, order)))
     small, large = _split(df, keys, big)
     size = _blocks(df, back + ahead)
-    indexed = _ranged_index(large, keys, order, "_i")
+    indexed = _ranged_index(large, keys, order, "_i", big)
     home = F.floor(F.col("_i") / size)
     within = F.col("_i") % size
     copies = F.array_compact(
@@ -199,7 +201,7 @@ def neighbours(
         )
         return fill(indexed, keys, up, down)
     small, large = _split(df, keys, big)
-    indexed = materialise(_ranged_index(large, keys, [F.col(c) for c in order], "_i"))
+    indexed = materialise(_ranged_index(large, keys, [F.col(c) for c in order], "_i", big))
     blocked = indexed.withColumn("_blk", F.floor(F.col("_i") / _blocks(df, 1)))
     part = [*keys, "_blk"]
     # One row per block: its last and first known value, carried over the blocks.
@@ -252,7 +254,7 @@ def running_sums(
     if big is None:
         return running(df, keys, order)
     small, large = _split(df, keys, big)
-    indexed = materialise(_ranged_index(large, keys, order, "_i"))
+    indexed = materialise(_ranged_index(large, keys, order, "_i", big))
     blocked = indexed.withColumn("_blk", F.floor(F.col("_i") / _blocks(df, 1)))
     part = [*keys, "_blk"]
     totals = blocked.groupBy(*part).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
@@ -300,7 +302,7 @@ def grouped(
     for column in sorted({c for c, _ in quantiles.values()}):
         values = large.where(F.col(column).isNotNull()).select(*keys, column)
         sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        ranked = _ranged_index(values, keys, [F.col(column)], "_i")
+        ranked = _ranged_index(values, keys, [F.col(column)], "_i", big)
         sizes = sizes.select(*tag, "_n")
         match = reduce(
             lambda a, b: a & b, [ranked[k].eqNullSafe(sizes[f"_k_{k}"]) for k in keys], F.lit(True)

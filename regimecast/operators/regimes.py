@@ -5,64 +5,53 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regimecast.functions import vectors as vec
 
-# Each centre a list of numbers, or an array column when the centres travel with the rows.
-Centres = Sequence[Sequence[float] | Column]
+Centres = Sequence[Sequence[float]]
 
 
 def assign_hard(df: DataFrame, x: str, centres: Centres, name: str = "k") -> DataFrame:
     return df.withColumn(name, vec.nearest(vec.distances(x, centres)))
 
 
-def centre_distances(
-    df: DataFrame, x: str, centres: Centres, name: str = "dist", width: int | None = None
-) -> DataFrame:
-    return df.withColumn(name, F.array(*vec.distances(x, centres, width)))
+def centre_distances(df: DataFrame, x: str, centres: Centres, name: str = "dist") -> DataFrame:
+    return df.withColumn(name, F.array(*vec.distances(x, centres)))
 
 
 def soft_columns(
-    df: DataFrame,
-    x: str,
-    centres: Centres,
-    fuzziness: float = 2.0,
-    prefix: str = "_",
-    width: int | None = None,
+    df: DataFrame, x: str, centres: Centres | str, k: int, width: int, fuzziness: float = 2.0, prefix: str = "_"
 ) -> tuple[DataFrame, list[str], list[str]]:
     """Distances and fuzzy memberships as scalar columns; returns the frame and their names.
 
-    Each step is a projection of its own over plain doubles. One expression for all of it would
-    compile into a method too large for the JVM to optimise.
+    ``centres`` are numbers, or the name of a column that carries them with the rows. Each step is
+    a projection of its own over plain doubles: one expression for all of it would compile into a
+    method too large for the JVM to optimise.
     """
-    k = len(centres)
     d, near, u = ([f"{prefix}{c}{j}" for j in range(k)] for c in ("d", "n", "u"))
     total, hit = f"{prefix}t", f"{prefix}h"
-    power = F.lit(-2.0 / (fuzziness - 1.0))
-    df = df.withColumns(dict(zip(d, vec.distances(x, centres, width))))
+    power = f"{-2.0 / (fuzziness - 1.0)!r}D"
+
+    def step(frame: DataFrame, named: dict[str, str]) -> DataFrame:
+        return frame.selectExpr("*", *[f"{e} AS {n}" for n, e in named.items()])
+
+    df = step(df, dict(zip(d, vec.distance_exprs(x, centres, k, width))))
     # A row on a centre has an infinite closeness there, hence an infinite total.
-    df = df.withColumns({n: F.pow(F.col(c), power) for n, c in zip(near, d)})
-    df = df.withColumn(total, vec.fold([F.col(n) for n in near]))
-    first = F.lit(-1)
-    for j in reversed(range(k)):
-        first = F.when(F.col(d[j]) == 0.0, j).otherwise(first)
-    df = df.withColumn(hit, first)
-    shares = {
-        name: F.when(F.col(hit) < 0, F.col(n) / F.col(total)).otherwise(
-            F.when(F.col(hit) == j, 1.0).otherwise(0.0)
-        )
-        for j, (name, n) in enumerate(zip(u, near))
-    }
-    return df.withColumns(shares).drop(*near, total, hit), d, u
+    df = step(df, {n: f"power({c}, {power})" for n, c in zip(near, d)})
+    on = " ".join(f"WHEN {c} = 0 THEN {j}" for j, c in enumerate(d))
+    df = step(df, {total: " + ".join(near), hit: f"CASE {on} ELSE -1 END"})
+    share = "CASE WHEN {hit} < 0 THEN {n} / {total} WHEN {hit} = {j} THEN 1D ELSE 0D END"
+    df = step(df, {c: share.format(hit=hit, n=n, total=total, j=j) for j, (c, n) in enumerate(zip(u, near))})
+    return df.drop(*near, total, hit), d, u
 
 
 def assign_soft(
-    df: DataFrame, x: str, centres: Centres, fuzziness: float = 2.0, name: str = "u", width: int | None = None
+    df: DataFrame, x: str, centres: Centres, fuzziness: float = 2.0, name: str = "u"
 ) -> DataFrame:
     """Memberships as one array column; a row on a centre belongs to the first such centre."""
-    soft, d, u = soft_columns(df, x, centres, fuzziness, "_soft_", width)
+    soft, d, u = soft_columns(df, x, centres, len(centres), len(centres[0]), fuzziness, "_soft_")
     return soft.withColumn(name, F.array(*u)).drop(*d, *u)
 
 

@@ -20,7 +20,7 @@ from regimecast.plans.forecasting import (
     RegimeForecasterModel,
     model_features,
 )
-from regimecast.session import kept
+from regimecast.session import kept, materialise
 
 # Fixed values of the experiment grids.
 NOISE_LEVELS = (0.0, 0.05, 0.10, 0.15, 0.20)
@@ -41,9 +41,10 @@ def _union(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def split_frame(df: DataFrame, settings: ForecastSettings, train: float = 0.8, val: float = 0.1) -> DataFrame:
+    """(keys, ts, value, split), written once: an experiment passes over it for every fit and score."""
     s = settings
-    return features.chronological_split(
-        df.select(*s.keys, s.ts, s.value), list(s.keys), [s.ts], train, val
+    return materialise(
+        features.chronological_split(df.select(*s.keys, s.ts, s.value), list(s.keys), [s.ts], train, val)
     )
 
 
