@@ -203,6 +203,25 @@ def _(v):
     return ensemble.stack(rows.where("split = 'train'"), rows.where("split = 'test'"), ROW, list(MODELS))
 
 
+STACK_SPLIT = """SELECT event_type, ts, y, lag1 AS a, mean24 AS b, i < floor(n * 0.8::DOUBLE) AS train FROM lagged
+    JOIN (SELECT event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS i,
+        count(*) OVER (PARTITION BY event_type) AS n FROM hourly_type) USING (event_type, ts)"""
+
+
+@query(
+    "ens4_stacking_two_models",
+    f"""WITH s AS ({STACK_SPLIT}), m AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+            covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM s WHERE train),
+        w AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM m)
+       SELECT event_type, ts, round(my + wa * (a - ma) + wb * (b - mb), 4) AS yhat, round(abs(a - b) / 2, 4) AS sigma FROM s, w WHERE NOT train""",
+)
+def _(v):
+    halves = features.two_way_split(v.hourly_type, TYPE, ["ts"]).select(*ROW, "split")
+    rows = v.ensemble_rows.where(F.col("model").isin("lag1", "mean24")).join(halves, ROW)
+    out = ensemble.stack(rows.where("split = 'train'"), rows.where("split = 'test'"), ROW, ["lag1", "mean24"])
+    return out.select(*ROW, rounded("yhat", 4).alias("yhat"), rounded("sigma", 4).alias("sigma"))
+
+
 # --- experiments -----------------------------------------------------------------------------
 
 

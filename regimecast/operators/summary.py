@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,8 +72,11 @@ def dataset_summary(df: DataFrame, tag: str, ts: str, value: str) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, keys: Keys, value: str, bins: int = 10) -> DataFrame:
-    """Equal-width bins over the observed range, the last one closed; empty bins included.
+def bin_counts(
+    df: DataFrame, keys: Keys, value: str, bins: int = 10, extra: dict[str, Column] | None = None
+) -> DataFrame:
+    """Equal-width bins over the observed range, the last one closed: one row per group with the
+    range and the array of counts. ``extra`` aggregates ride along in the same pass.
 
     A constant column is binned over half a unit to either side.
     """
@@ -83,24 +88,52 @@ def histogram(df: DataFrame, keys: Keys, value: str, bins: int = 10) -> DataFram
         F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
     )
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    place = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
-    # All bins of a group in one row of conditional counts, so the pass has a single exchange.
-    counts = join_params(known, span, keys).groupBy(*keys).agg(
+    place = F.least(F.floor((F.col(value) - F.col("_lo")) / bin_width(bins)), F.lit(bins - 1)).cast("int")
+    placed = join_params(known, span, keys).withColumn("_place", place)
+    return placed.groupBy(*keys).agg(
         F.first("_lo").alias("_lo"),
         F.first("_hi").alias("_hi"),
-        F.array(*[F.count_if(place == b) for b in range(bins)]).alias("_counts"),
+        F.array(*[F.count_if(F.col("_place") == b) for b in range(bins)]).alias("_counts"),
+        *[c.alias(n) for n, c in (extra or {}).items()],
+    )
+
+
+def bin_width(bins: int) -> Column:
+    return (F.col("_hi") - F.col("_lo")) / bins
+
+
+def histogram(df: DataFrame, keys: Keys, value: str, bins: int = 10) -> DataFrame:
+    """One row per bin, empty bins included."""
+    exploded = bin_counts(df, keys, value, bins).select(
+        *keys, "_lo", "_hi", F.posexplode("_counts").alias("bin", "count")
     )
-    exploded = counts.select(*keys, "_lo", "_hi", F.posexplode("_counts").alias("bin", "count"))
     return exploded.select(
         *keys,
         "bin",
-        (F.col("_lo") + F.col("bin") * width).alias("left_edge"),
-        (F.col("_lo") + (F.col("bin") + 1) * width).alias("right_edge"),
+        (F.col("_lo") + F.col("bin") * bin_width(bins)).alias("left_edge"),
+        (F.col("_lo") + (F.col("bin") + 1) * bin_width(bins)).alias("right_edge"),
         "count",
     )
 
 
+def bin_shape(bins: int, tolerance: float = 0.2) -> dict[str, Column]:
+    """Modal bin and shape of a row of bin counts."""
+    c = [F.get("_counts", F.lit(b)) for b in range(bins)]
+    mean = reduce(add, c) / bins
+    peaks = [((c[b] > c[b - 1]) & (c[b] > c[b + 1])).cast("long") for b in range(1, bins - 1)]
+    most = F.array_max("_counts")
+    mode = F.array_position("_counts", most) - 1
+    return {
+        "bin": mode.cast("int"),
+        "left_edge": F.col("_lo") + mode * bin_width(bins),
+        "right_edge": F.col("_lo") + (mode + 1) * bin_width(bins),
+        "count": most,
+        "peaks": reduce(add, peaks),
+        "is_bimodal": reduce(add, peaks) >= 2,
+        "is_uniform": F.greatest(*[F.abs(x - mean) for x in c]) / mean <= tolerance,
+    }
+
+
 def modal_bin(hist: DataFrame, keys: Keys) -> DataFrame:
     best = F.max_by(F.struct("bin", "left_edge", "right_edge", "count"), F.struct("count", -F.col("bin")))
     return hist.groupBy(*keys).agg(best.alias("m")).select(*keys, "m.*")

@@ -130,24 +130,29 @@ def temporal_patterns(
     return long.where(fits).drop("_rows")
 
 
-def concentration(df: DataFrame, keys: Keys) -> DataFrame:
+def concentration_ratios() -> dict[str, Column]:
     i = F.col("indeterminacy")
-    out = df.groupBy(*keys).agg(
-        F.avg((i > HIGH).cast("double")).alias("high_ratio"),
-        F.avg((i < LOW).cast("double")).alias("low_ratio"),
-    )
-    return out.withColumn("medium_ratio", 1 - F.col("high_ratio") - F.col("low_ratio")).withColumn(
-        "is_concentrated", (F.col("high_ratio") > DOMINANT_SHARE) | (F.col("low_ratio") > DOMINANT_SHARE)
-    )
+    return {
+        "high_ratio": F.avg((i > HIGH).cast("double")),
+        "low_ratio": F.avg((i < LOW).cast("double")),
+    }
 
 
 def distribution_analysis(df: DataFrame, keys: Keys, bins: int = 10) -> DataFrame:
-    """Modal bin, concentration and shape of the indeterminacy histogram, one row per series."""
-    hist = summary.histogram(df, keys, "indeterminacy", bins)
-    out = summary.modal_bin(hist, keys)
-    for part in (summary.histogram_shape(hist, keys), concentration(df, keys)):
-        out = join_params(out, part, keys)
-    return out
+    """Modal bin, concentration and shape of the indeterminacy histogram, one row per series.
+
+    One pass finds the range, one counts the bins and the ratios together.
+    """
+    counted = summary.bin_counts(df, keys, "indeterminacy", bins, concentration_ratios())
+    high, low = F.col("high_ratio"), F.col("low_ratio")
+    return counted.select(
+        *keys,
+        *[c.alias(n) for n, c in summary.bin_shape(bins).items()],
+        "high_ratio",
+        "low_ratio",
+        (1 - high - low).alias("medium_ratio"),
+        ((high > DOMINANT_SHARE) | (low > DOMINANT_SHARE)).alias("is_concentrated"),
+    )
 
 
 def weights(df: DataFrame, keys: Keys, method: str = "indeterminacy", name: str = "weight") -> DataFrame:
