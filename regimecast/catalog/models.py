@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from regimecast.catalog.registry import define_view, query, rounded
 from regimecast.functions.tails import normal_quantile
 from regimecast.operators import ensemble, features, forest, intervals, metrics
+from regimecast.operators.clustering import DualClusterer, hashed_memberships
 from regimecast.plans import etl, experiments
 from regimecast.plans.forecasting import (
     ForecastSettings,
@@ -371,3 +372,127 @@ def _(v):
 def _(v):
     out = features.add_table_features(v.daily_orders, [], "ts", "y")
     return out.select("ts", rounded(F.col("y_rolling_mean_24")).alias("y_rolling_mean_24"), "y_lag_168", "is_weekend")
+
+
+# --- what must hold for trained and randomised results ------------------------------------------
+# Their values have no SQL form, but how many rows each series keeps and what holds on every row has.
+
+define_view(
+    "series_rows",
+    """SELECT event_type, n, floor(n * 0.8::DOUBLE)::BIGINT AS n_train, floor(n * 0.1::DOUBLE)::BIGINT AS n_val
+       FROM (SELECT event_type, count(*) AS n FROM hourly_type GROUP BY 1)""",
+)
+FRAMED = max(SETTINGS.lags)
+
+
+@query(
+    "mdl2_tree_mean_invariant",
+    f"""SELECT event_type, n - {FRAMED} AS total_rows, 0::BIGINT AS off_forest, 0::BIGINT AS bad_spread FROM series_rows""",
+)
+def _(v):
+    """The mean of the trees is the forest's own prediction and the spread is never negative."""
+    model, framed = _trained(v)
+    scored = model.forest.transform(framed)
+    whole = model.forest.model.setPredictionCol("whole").transform(
+        forest.assemble(scored, model.forest.settings.features)
+    )
+    return whole.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.count_if(F.abs(F.col("whole") - F.col("yhat")) > 1e-9).alias("off_forest"),
+        F.count_if(F.col("sigma").isNull() | (F.col("sigma") < 0)).alias("bad_spread"),
+    )
+
+
+def _test_rows(scored):
+    return scored.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("yhat").isNull() | F.isnan("yhat")).alias("missing")
+    )
+
+
+TEST_ROWS = "SELECT event_type, n - n_train - n_val AS total_rows, 0::BIGINT AS missing FROM series_rows"
+
+
+@query("mdl7_vanilla_forest_rows", TEST_ROWS)
+def _(v):
+    train, test, x = _lagged_split(v)
+    return _test_rows(forest.vanilla_forest(train, test, x, trees=4, depth=4))
+
+
+@query("mdl8_boosted_trees_rows", TEST_ROWS)
+def _(v):
+    train, test, x = _lagged_split(v)
+    return _test_rows(forest.boosted_trees(train, test, x, rounds=2, depth=3))
+
+
+@query("exp3_held_out_rows", TEST_ROWS)
+def _(v):
+    rows, model = _fitted(v)
+    return _test_rows(model.evaluate(rows.drop("split"), rows.where("split = 'test'").drop("split")))
+
+
+@query(
+    "exp1_recursive_rows",
+    "SELECT event_type, s.step::INTEGER AS step, true AS ordered FROM series_rows, range(1, 5) s(step)",
+)
+def _(v):
+    out = _fitted(v)[1].predict_recursive(v.hourly_type, steps=4, cut_every=2)
+    ordered = (F.col("lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("upper"))
+    return out.select("event_type", "step", ordered.alias("ordered"))
+
+
+@query(
+    "exp1_direct_rows",
+    f"SELECT event_type, n - {FRAMED} AS total_rows, 1::BIGINT AS beyond_the_end FROM series_rows",
+)
+def _(v):
+    out = _fitted(v)[1].predict_direct(v.hourly_type)
+    return out.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("target_ts").isNull()).alias("beyond_the_end")
+    )
+
+
+@query(
+    "exp8_missing_share",
+    "SELECT event_type, n AS total_rows, floor(n * 0.2::DOUBLE)::BIGINT AS removed FROM series_rows",
+)
+def _(v):
+    out = experiments.remove_values(v.hourly_type, TYPE, "ts", "y", 0.2)
+    return out.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("y").isNull()).alias("removed")
+    )
+
+
+@query(
+    "int5_bootstrap_invariant",
+    "SELECT event_type, count(*) AS total_rows, 0::BIGINT AS outside FROM interval_inputs GROUP BY 1",
+)
+def _(v):
+    params = intervals.fit_residual_spread(v.interval_inputs, TYPE)
+    out = intervals.bootstrap(v.interval_inputs, TYPE, ROW, params)
+    inside = (F.col("lower") < F.col("yhat")) & (F.col("yhat") < F.col("upper"))
+    return out.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(~inside).alias("outside")
+    )
+
+
+@query(
+    "clu7_membership_sums",
+    "SELECT user_id, count(*) AS total_rows, 0::BIGINT AS not_one FROM hourly_user GROUP BY 1",
+)
+def _(v):
+    start = hashed_memberships("x", 3, 42, ["user_id", "ts"])
+    total = start[0] + start[1] + start[2]
+    return v.norm_user.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(F.abs(total - 1.0) > 1e-12).alias("not_one")
+    )
+
+
+@query(
+    "clu12_dual_fit_rows",
+    "SELECT 3::BIGINT AS regimes, count(*) AS total_rows FROM hourly_user",
+)
+def _(v):
+    model = DualClusterer(k=3, maxIter=5, nInit=1).fit(v.norm_user)
+    return model.transform(v.norm_user).agg(
+        F.count_distinct("k").alias("regimes"), F.count(F.lit(1)).alias("total_rows")
+    )

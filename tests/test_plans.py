@@ -17,7 +17,8 @@ KEYED = [
     "met15_comprehensive", "iev3_calibration", "eva2_ljung_box", "tst3_wilcoxon", "tst4_friedman",
 ]
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "AggregateInPandas")
-LAZY = [n for n in entry.oracle_sql() if not n.startswith(("snk", "src3", "exp10"))]
+TRAINED = ("snk", "src3", "exp", "mdl2_tree", "mdl7", "mdl8", "mdl9", "ens4", "clu12_dual_fit", "clu5", "clu8_objective")
+LAZY = [n for n in entry.oracle_sql() if not n.startswith(TRAINED)]
 
 
 def plan(df, mode="executedPlan"):
