@@ -334,7 +334,7 @@ def _(v):
 
 @query(
     "iev4_method_summary",
-    """SELECT event_type, arg_max(model, picp) AS best_coverage, arg_min(model, pinaw) AS narrowest, round(min(picp), 6) AS coverage_min,
+    """SELECT event_type, first(model ORDER BY picp DESC, model) AS best_coverage, first(model ORDER BY pinaw, model) AS narrowest, round(min(picp), 6) AS coverage_min,
         round(max(picp), 6) AS coverage_max, round(min(pinaw), 6) AS width_min, round(max(pinaw), 6) AS width_max FROM method_scores GROUP BY 1""",
 )
 def _(v):

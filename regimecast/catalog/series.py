@@ -272,7 +272,7 @@ def _(v):
 
 @query(
     "agg3_profile_extremes",
-    """SELECT arg_max(part, mean) AS peak, round(max(mean), 4) AS peak_mean, arg_min(part, mean) AS low, round(min(mean), 4) AS low_mean
+    """SELECT first(part ORDER BY mean DESC, part) AS peak, round(max(mean), 4) AS peak_mean, first(part ORDER BY mean, part) AS low, round(min(mean), 4) AS low_mean
        FROM (SELECT month(ts)::INTEGER AS part, avg(y) AS mean FROM daily_orders GROUP BY 1)""",
 )
 def _(v):
