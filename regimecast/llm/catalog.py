@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regimecast.llm import bpe, decontaminate, langid, simhash, tokens
+from regimecast.llm import bpe, decontaminate, html_text, langid, line_dedup, simhash, tokens
 from regimecast.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": lambda spark, d: decontaminate.op2_decontaminate(
         read(spark, d, "documents"), read(spark, d, "benchmark")
     ),
+    "op3_html_extract": lambda spark, d: html_text.op3_html_extract(read(spark, d, "pages")),
+    "op4_line_dedup": lambda spark, d: line_dedup.op4_line_dedup(read(spark, d, "documents")),
     "op8_token_binary": lambda spark, d: tokens.op8_token_binary(read(spark, d, "documents")),
     "op9_bpe": lambda spark, d: bpe.op9_bpe(read(spark, d, "documents")),
     "op10_simhash": lambda spark, d: simhash.op10_simhash(read(spark, d, "documents")),
