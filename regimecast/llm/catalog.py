@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regimecast.llm import bpe, decontaminate, html_text, langid, licenses, line_dedup, quality_rules, simhash, tokens
+from regimecast.llm import bpe, decontaminate, html_text, langid, licenses, line_dedup, quality_rules, simhash, suffixes, tokens
 from regimecast.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "op3_html_extract": lambda spark, d: html_text.op3_html_extract(read(spark, d, "pages")),
     "op4_line_dedup": lambda spark, d: line_dedup.op4_line_dedup(read(spark, d, "documents")),
+    "op5_suffix_dedup": lambda spark, d: suffixes.op5_suffix_dedup(read(spark, d, "documents")),
     "op6_license_scan": lambda spark, d: licenses.op6_license_scan(read(spark, d, "documents")),
     "op7_quality_rules": lambda spark, d: quality_rules.op7_quality_rules(read(spark, d, "documents")),
     "op8_token_binary": lambda spark, d: tokens.op8_token_binary(read(spark, d, "documents")),

@@ -29,7 +29,7 @@ SHARE, STEPS, MIN_GROUP, TAIL = 0.75, 8, 50, 1e-6
 UNIT = 1000
 #: Smallest spread of each transformed statistic, in thousandths. Keeps the covariance regular where
 #: most texts share one value, as no repeated line at all.
-STATISTICS = {"x_word": 60, "x_symbol": 500, "x_repeat": 40, "x_lines": 150}
+STATISTICS = {"x_word": 60, "x_symbol": 500, "x_repeat": 60, "x_lines": 250}
 _BINS = 64  # distance bins per doubling
 
 _SPACE = r"[\x20\x09-\x0D]"
