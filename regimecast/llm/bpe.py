@@ -14,7 +14,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regimecast.llm.common import col, with_fields
@@ -167,11 +167,17 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary_
     return docs.withColumn(text, F.pandas_udf(run, "string")(col(ids)))
 
 
-DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+DIGEST = "ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def digest_column(docs: DataFrame, text: Column, vocabulary_path: str | None = None) -> Column:
-    """Encode, decode and hash in one pass, so that the id lists never leave the worker."""
+def digests(
+    docs: DataFrame, text: str = "text", vocabulary_path: str | None = None, with_ids: bool = False
+) -> DataFrame:
+    """Encode, decode and hash in one pass: add n_tokens, ids_sha256 and decoded_sha256, and ids if wanted.
+
+    Columns of these names are replaced. Null and empty texts have no ids, and the hashes of empty
+    strings. Without ``with_ids`` the lists never leave the worker.
+    """
     held = _held(docs, vocabulary_path)
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -181,19 +187,12 @@ def digest_column(docs: DataFrame, text: Column, vocabulary_path: str | None = N
             ids = tool.encode(t)
             listed = " ".join([decimal[i] for i in ids]).encode()
             decoded = tool.decode(ids).encode("utf-8", "surrogatepass")
-            rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return F.pandas_udf(run, DIGEST)(text)
+            kept = ids if with_ids else None
+            rows.append((kept, len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        return pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-
-def digests(docs: DataFrame, text: str = "text", vocabulary_path: str | None = None) -> DataFrame:
-    """Add n_tokens, ids_sha256 and decoded_sha256; columns of these names are replaced.
-
-    Null and empty texts have no ids, and the hashes of empty strings.
-    """
-    fields = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    return with_fields(docs, digest_column(docs, col(text), vocabulary_path), fields)
+    fields = [*(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
+    return with_fields(docs, F.pandas_udf(run, DIGEST)(col(text)), fields)
 
 
 def op9_bpe(docs: DataFrame) -> DataFrame:

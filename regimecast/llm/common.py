@@ -48,13 +48,14 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def with_fields(df: DataFrame, struct: Column, fields: Sequence[str]) -> DataFrame:
-    """Add the fields of a struct; input columns of the same names are replaced."""
-    taken = {f.lower() for f in fields}
+def with_fields(df: DataFrame, struct: Column, fields: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+    """Add the fields of a struct, as ``names`` if given; input columns of the same names are replaced."""
+    names = names or fields
+    taken = {n.lower() for n in names}
     held = fresh(df, "_fields")
     rest = [col(c) for c in df.columns if c.lower() not in taken]
     wide = df.select(*[col(c) for c in df.columns], struct.alias(held))
-    return wide.select(*rest, *[F.col(held)[f].alias(f) for f in fields])
+    return wide.select(*rest, *[F.col(held)[f].alias(n) for f, n in zip(fields, names)])
 
 
 def same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:

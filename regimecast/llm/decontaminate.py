@@ -12,7 +12,7 @@ than that is searched block by block, one pass over the texts each.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pandas as pd
@@ -131,9 +131,14 @@ def _scanner(block):
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text"
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    names: Sequence[str] = ("n_words", "spans", "items"),
 ) -> DataFrame:
-    """Add n_words, spans (runs of hit words, last exclusive) and items (ids found, as sorted strings).
+    """Add the number of words, the runs of hit words (first, last exclusive) and the ids found, as sorted strings.
 
     Columns of these names are replaced. A null or empty text has no words; an item that is null,
     has no word or no id is never found; an item given twice counts once. Without items nothing is hit.
@@ -144,8 +149,8 @@ def find_leaks(
         if earlier:
             out = materialise(out)  # one automaton at a time in a worker
         scan = F.pandas_udf(_scanner(context.broadcast(block)), RESULT)
-        out = with_fields(out, scan(col(text), *earlier), ["n_words", "spans", "items"])
-        earlier = [F.col("spans"), F.col("items")]
+        out = with_fields(out, scan(col(text), *earlier), ["n_words", "spans", "items"], names)
+        earlier = [col(names[1]), col(names[2])]
     return out
 
 

@@ -10,7 +10,7 @@ vector per language and task; what reaches the driver is one vector per language
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -165,15 +165,15 @@ class LanguageProfiles:
             return cls([], np.zeros((0, dimensions)))
         return cls([r["label"] for r in rows], np.array([r["v"] for r in rows], dtype=np.float64))
 
-    def predict(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Add lang_pred and score (cosine, 0 to 1); columns of these names are replaced.
+    def predict(self, docs: DataFrame, text: str = "text", names: Sequence[str] = ("lang_pred", "score")) -> DataFrame:
+        """Add the predicted label and its score (cosine, 0 to 1); columns of these names are replaced.
 
         ``und`` with score 0 where the text is null or has no letter, and everywhere if nothing was
         learned. Ties go to the first label in order. Equal texts get equal results; an empty table
         stays empty.
         """
         guess = F.pandas_udf(_predictor(self.labels, self.vectors), "lang_pred string, score double")
-        return with_fields(docs, guess(col(text)), ["lang_pred", "score"])
+        return with_fields(docs, guess(col(text)), ["lang_pred", "score"], names)
 
 
 def fold(doc_id: str = "doc_id"):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regimecast.llm.common import col, spaced_words
+from regimecast.llm.common import col, fresh, spaced_words
 from regimecast.session import materialise
 
 SEGMENTS, SEGMENT_BITS, SEED, SHINGLE, MAX_BITS = 4, 16, 42, 3, 2
@@ -116,6 +116,13 @@ def stars(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def components(prints: DataFrame) -> DataFrame:
+    """(fp, root): the component of every distinct fingerprint, named by its smallest one."""
+    nodes = materialise(prints.select("fp").distinct())
+    roots = stars(links(nodes)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp (signed bigint), component_id.
 
@@ -124,14 +131,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component_id. An empty table gives no rows. Other columns of the input are not looked at.
     """
     prints = materialise(docs.select(col(doc_id).alias("doc_id"), fingerprint_column(col(text)).alias("fp")))
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = stars(links(nodes)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # One row per fingerprint before the components are joined: copies do not travel.
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = materialise(components(prints).join(firsts, "fp"))
     smallest = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = nodes.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of the frame, unchanged, that stay: of each component the one of smallest (doc_id, hash of text).
+
+    A null doc_id comes first. Of repeated rows that tie, one stays, picked by Spark.
+    """
+    th = F.xxhash64(col(text)).alias("th")
+    prints = materialise(docs.select(col(doc_id).cast("bigint").alias("doc_id"), th, fingerprint_column(col(text)).alias("fp")))
+    rows = prints.groupBy("fp", "doc_id", "th").agg(F.count(F.lit(1)).alias("copies"))
+    best = F.min(F.struct("doc_id", "th", "copies")).alias("best")
+    firsts = rows.groupBy("fp").agg(best).join(components(prints), "fp")
+    d, t, n = (fresh(docs, name) for name in ("_doc", "_hash", "_copies"))
+    stay = materialise(firsts.groupBy("root").agg(F.min("best").alias("best")).select("best.*").toDF(d, t, n))
+    match = docs[f"`{doc_id}`"].cast("bigint").eqNullSafe(stay[d]) & F.xxhash64(docs[f"`{text}`"]).eqNullSafe(stay[t])
+    held = docs.join(stay, match)
+    once, more = held.where(col(n) == 1), held.where(col(n) > 1).dropDuplicates([d, t])
+    return once.unionByName(more).select(*[col(c) for c in docs.columns])
+
+
 def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
