@@ -24,6 +24,7 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>",
     re.S,
 )
+_OPEN_END = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _STYLE = re.compile(r"style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 _NAME = re.compile(r"[a-z]+|\d+")
@@ -118,8 +119,9 @@ def parse(page: str) -> _Tree:
             elif tag not in _VOID and not (rest.endswith("/") and tag in ("svg", "path")):
                 stack.append(node)
         match = _TOKEN.search(page, at, end_of_tags) if at < end_of_tags else None
-    if at < len(page):
-        tree.parts[stack[-1]].append(html.unescape(page[at:]))
+    rest = _OPEN_END.split(page[at:], maxsplit=1)[0]  # a tag or comment that never ends shows nothing
+    if rest:
+        tree.parts[stack[-1]].append(html.unescape(rest))
     return tree
 
 
