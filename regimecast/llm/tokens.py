@@ -44,14 +44,14 @@ SHARDS = (
 )
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_CACHE_UNITS = 1_000_000
+_CACHE_PIECES = 1_000_000
 
 
 class CachedEncoder:
     """A byte-level tokenizer whose words are looked up before they are encoded.
 
     Merges never cross the pieces of the tokenizer's own split pattern, and no piece ends inside
-    ``x y`` between x and the space. Texts are cut there, each distinct unit is encoded once by the
+    ``x y`` between x and the space. Texts are cut there, every distinct piece is encoded once by the
     library, and its ids are kept. Texts with a special token's string go to the library whole.
     """
 
@@ -61,12 +61,15 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.width = width or (2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4)
+        size = self.tokenizer.get_vocab_size()
+        self.width = width or (2 if size <= 1 << 16 else 4)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.whole = not self._standard(vocabulary)  # cutting at spaces needs the byte-level pattern above
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.opens = np.array([n.startswith("\u0120") for n in names])  # the byte alphabet's space
+        self.spaced: dict[str, bytes] = {}  # x -> ids of " x"
+        self.bare: dict[str, bytes] = {}
 
     @staticmethod
     def _standard(vocabulary: str) -> bool:
@@ -83,23 +86,42 @@ class CachedEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
-        if len(self.units) > _CACHE_UNITS:
-            self.units.clear()
-        if len(self.pieces) > _CACHE_UNITS:
-            self.pieces.clear()
-        split = list(map(_PIECE.findall, units))
-        new = list({p for pieces in split for p in pieces if p not in self.pieces})
-        self.pieces.update(zip(new, self._encode(new)))
-        get = self.pieces.__getitem__
-        self.units.update((u, b"".join(map(get, pieces))) for u, pieces in zip(units, split))
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        if _WIDE_SPACE.search(text):
-            return _INNER_SPACE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of Latin letters, each after a space, in one call: every piece begins with a token that begins with the space."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        packed, size = ids.astype(f"<u{self.width}").tobytes(), self.width
+        at = (np.flatnonzero(self.opens[ids]) * size).tolist()
+        at.append(len(packed))
+        self.spaced.update((w, packed[a:b]) for w, a, b in zip(words, at, at[1:]))
+
+    def _lookup(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of units after a space that are not kept yet. Units of up to two pieces are kept, rarer ones are put together."""
+        for held in (self.spaced, self.bare):
+            if len(held) > _CACHE_PIECES:
+                held.clear()
+        words = {u for u in units if u.isalpha() and max(u) < "\u0250"}
+        split = {u: _PIECE.findall(" " + u) for u in units - words}
+        bare = set()
+        for pieces in split.values():
+            head = pieces[0][1:]
+            if len(pieces) > 1 and head.isalpha() and max(head) < "\u0250":
+                if head not in self.spaced:
+                    words.add(head)
+                bare.update(pieces[1:])
+            else:
+                bare.update(pieces)
+        if words:
+            self._learn_words(list(words))
+        new = [p for p in bare if p not in self.bare]
+        self.bare.update(zip(new, self._encode(new)))
+        found = {w: self.spaced[w] for w in words}
+        for unit, pieces in split.items():
+            head = pieces[0]
+            ids = self.bare[head] if head in bare else self.spaced[head[1:]]
+            found[unit] = b"".join([ids, *[self.bare[p] for p in pieces[1:]]])
+            if len(pieces) <= 2:
+                self.spaced[unit] = found[unit]
+        return found
 
     def encode(self, text: str | None) -> bytes:
         """The packed ids of a text, as the library's encode gives them without special tokens added."""
@@ -107,11 +129,20 @@ class CachedEncoder:
             return b""
         if self.whole or (self.special and self.special.search(text)):
             return self._encode([text])[0]
-        units = self.cut(text)
-        found = list(map(self.units.get, units))
+        if _WIDE_SPACE.search(text):
+            units = _INNER_SPACE.split(text)
+            head, units = units[0], [u[1:] for u in units[1:]]
+        else:
+            head, *units = text.split(" ")
+        found = list(map(self.spaced.get, units))
         if None in found:
-            self._learn(list({u for u, f in zip(units, found) if f is None}))
-            found = [self.units[u] if f is None else f for u, f in zip(units, found)]
+            more = self._lookup({u for u, f in zip(units, found) if f is None})
+            found = [more[u] if f is None else f for u, f in zip(units, found)]
+        if head:
+            pieces = _PIECE.findall(head)
+            new = [p for p in dict.fromkeys(pieces) if p not in self.bare]
+            self.bare.update(zip(new, self._encode(new)))
+            found[:0] = [self.bare[p] for p in pieces]
         return b"".join(found)
 
 
