@@ -24,6 +24,8 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,6 +37,7 @@ from regimecast.session import scratch_path
 END_ID = 2
 #: A shard is closed when its frames reach this size.
 SHARD_BYTES = 4 << 20
+PIECE_BYTES = 4 << 20  # of text whose units are looked up together
 #: The dictionary is trained on about so many documents of at most so many bytes each, picked by a
 #: hash of doc_id; every document is compressed with it.
 SAMPLE_DOCS, SAMPLE_DOC_BYTES, DICT_BYTES = 400, 32 << 10, 64 << 10
@@ -138,14 +141,63 @@ class CachedEncoder:
         if None in found:
             more = self._lookup({u for u, f in zip(units, found) if f is None})
             found = [more[u] if f is None else f for u, f in zip(units, found)]
-        if head:
-            pieces = _PIECE.findall(head)
-            new = [p for p in dict.fromkeys(pieces) if p not in self.bare]
+        return b"".join([self._head(head), *found])
+
+
+    def encode_many(self, texts: pa.Array) -> list[bytes]:
+        """The same for a column of texts: equal units are found by Arrow and looked up once for the column."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ANY_WIDE_SPACE)
+        if self.special:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.special.pattern))
+        odd = np.ones(len(texts), bool) if self.whole else odd.to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.encode(texts[i].as_py())
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        split = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        at, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
+        index, units = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        heads = at[:-1]
+        follows = np.ones(len(index), bool)
+        follows[heads] = False
+        used = np.flatnonzero(np.bincount(index[follows], minlength=len(units))).tolist()
+        parts = [b""] * (len(units) + len(heads))
+        lacking = []
+        for u in used:
+            ids = self.spaced.get(units[u])
+            if ids is None:
+                lacking.append(u)
+            else:
+                parts[u] = ids
+        if lacking:
+            more = self._lookup({units[u] for u in lacking})
+            for u in lacking:
+                parts[u] = more[units[u]]
+        # A text's first unit has no space before it.
+        parts[len(units) :] = [self._head(units[i]) for i in index[heads].tolist()]
+        index[heads] = np.arange(len(units), len(parts))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
+        starts, own = np.cumsum(sizes) - sizes, sizes[index]
+        ends = np.cumsum(own)
+        ids = np.frombuffer(b"".join(parts), f"<u{self.width}")
+        ids = ids[np.arange(ends[-1]) + np.repeat(starts[index] - ends + own, own)]
+        bounds = np.concatenate([[0], ends])[at].tolist()
+        for i, a, b in zip(plain.tolist(), bounds, bounds[1:]):
+            out[i] = ids[a:b].tobytes()
+        return out
+
+    def _head(self, unit: str) -> bytes:
+        pieces = _PIECE.findall(unit)
+        new = [p for p in dict.fromkeys(pieces) if p not in self.bare]
+        if new:
             self.bare.update(zip(new, self._encode(new)))
-            found[:0] = [self.bare[p] for p in pieces]
-        return b"".join(found)
+        return b"".join([self.bare[p] for p in pieces])
 
 
+_ANY_WIDE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 _WIDE_SPACE = re.compile(r"\s\s")
 _INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _ENCODERS: dict[int, CachedEncoder] = {}
@@ -189,36 +241,50 @@ def train_dictionary(docs: DataFrame, held, end_id: int = END_ID) -> bytes:
 def _shards(held, dictionary: bytes, end_id: int):
     digest = hashlib.sha256(dictionary).hexdigest() if dictionary else ""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(held)
         extra = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
         squeeze = zstandard.ZstdCompressor(level=3, **extra).compress
         end, ids, counts, parts, size, shard, part = tool.pack([end_id]), [], [], [], 0, 0, 0
 
-        def row() -> pd.DataFrame:
+        def row() -> pa.RecordBatch:
             offsets = np.cumsum([0, *map(len, parts)]).tolist()
-            return pd.DataFrame(
-                [(part, shard, tool.width, digest, ids, counts, offsets, b"".join(parts))],
-                columns=["part", "shard", "width", "dict_sha256", "doc_ids", "counts", "offsets", "frames"],
-            )
-
-        for frame in frames:
-            part = int(frame["part"].iloc[0]) if len(frame) else part
-            for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"]):
-                packed = tool.encode(text) + end
-                ids.append(None if doc_id is pd.NA else int(doc_id))
-                counts.append(len(packed) // tool.width)
-                parts.append(squeeze(packed))
-                size += len(parts[-1])
-                if size >= SHARD_BYTES:
-                    yield row()
-                    ids, counts, parts, size, shard = [], [], [], 0, shard + 1
+            values = (part, shard, tool.width, digest, ids, counts, offsets, b"".join(parts))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _ARROW)], names=_NAMES)
+
+        for batch in batches:
+            for piece in _pieces(batch):
+                part = piece.column("part")[0].as_py()
+                for doc_id, packed in zip(piece.column("doc_id").to_pylist(), tool.encode_many(piece.column("text"))):
+                    packed += end
+                    ids.append(doc_id)
+                    counts.append(len(packed) // tool.width)
+                    parts.append(squeeze(packed))
+                    size += len(parts[-1])
+                    if size >= SHARD_BYTES:
+                        yield row()
+                        ids, counts, parts, size, shard = [], [], [], 0, shard + 1
         if ids:
             yield row()
 
     return run
 
 
+_NAMES = ["part", "shard", "width", "dict_sha256", "doc_ids", "counts", "offsets", "frames"]
+_ARROW = [pa.int32()] * 3 + [pa.string()] + [pa.list_(pa.int64())] * 3 + [pa.binary()]
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about PIECE_BYTES of text."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(total):
+        before = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + PIECE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) -> None:
     """Encode (doc_id, text) and write shards under ``path``/shards and the dictionary under ``path``/dictionary.
 
@@ -235,7 +301,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_
         .sortWithinPartitions("doc_id", "text")
         .withColumn("part", F.spark_partition_id())
     )
-    shards = placed.mapInPandas(_shards(held, dictionary, end_id), SHARDS)
+    shards = placed.mapInArrow(_shards(held, dictionary, end_id), SHARDS)
     # Frames are compressed already.
     shards.write.option("compression", "uncompressed").option("parquet.block.size", 32 << 20).parquet(f"{path}/shards")
 
