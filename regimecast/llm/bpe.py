@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regimecast.llm.common import col, with_fields
+from regimecast.llm.common import col, tool, with_fields
 from regimecast.llm.tokens import vocabulary_of
 
-_CACHE = 1_000_000
+_CACHE = 250_000
 
 
 class ForcedBoundaryBpe:
@@ -125,16 +125,9 @@ class ForcedBoundaryBpe:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
-_CODECS: dict[int, ForcedBoundaryBpe] = {}
-
-
 def codec(held) -> ForcedBoundaryBpe:
     """The codec of a broadcast vocabulary, one for each worker."""
-    key = hash(held.value)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = ForcedBoundaryBpe(held.value)
-    return _CODECS[key]
+    return tool(("codec", hash(held.value)), lambda: ForcedBoundaryBpe(held.value))
 
 
 def _held(df: DataFrame, vocabulary_path: str | None):
@@ -150,8 +143,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary_pat
     held = _held(docs, vocabulary_path)
 
     def run(texts: pd.Series) -> pd.Series:
-        tool = codec(held)
-        return pd.Series([tool.encode(t) for t in texts], dtype=object)
+        coder = codec(held)
+        return pd.Series([coder.encode(t) for t in texts], dtype=object)
 
     return docs.withColumn(ids, F.pandas_udf(run, "array<int>")(col(text)))
 
@@ -161,8 +154,8 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary_
     held = _held(docs, vocabulary_path)
 
     def run(rows: pd.Series) -> pd.Series:
-        tool = codec(held)
-        return pd.Series([tool.decode([] if r is None else list(r)) for r in rows], dtype=object)
+        coder = codec(held)
+        return pd.Series([coder.decode([] if r is None else list(r)) for r in rows], dtype=object)
 
     return docs.withColumn(text, F.pandas_udf(run, "string")(col(ids)))
 
@@ -181,12 +174,12 @@ def digests(
     held = _held(docs, vocabulary_path)
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        tool, rows = codec(held), []
-        decimal = list(map(str, range(len(tool.names))))
+        coder, rows = codec(held), []
+        decimal = list(map(str, range(len(coder.names))))
         for t in texts:
-            ids = tool.encode(t)
+            ids = coder.encode(t)
             listed = " ".join([decimal[i] for i in ids]).encode()
-            decoded = tool.decode(ids).encode("utf-8", "surrogatepass")
+            decoded = coder.decode(ids).encode("utf-8", "surrogatepass")
             kept = ids if with_ids else None
             rows.append((kept, len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         return pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +65,17 @@ def same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) ->
         one = left[f"`{a}`"].eqNullSafe(right[f"`{b}`"])
         out = one if out is None else out & one
     return out
+
+
+_TOOL: dict[tuple, object] = {}
+
+
+def tool(key: tuple, build: Callable[[], object]):
+    """The one large object a Python worker keeps between batches; another one takes its place.
+
+    Workers are reused by all stages of a job, so what an earlier stage cached must not stay.
+    """
+    if key not in _TOOL:
+        _TOOL.clear()
+        _TOOL[key] = build()
+    return _TOOL[key]

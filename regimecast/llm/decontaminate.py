@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regimecast.llm.common import alnum_words, col, with_fields
+from regimecast.llm.common import alnum_words, col, tool, with_fields
 from regimecast.session import materialise
 
 WINDOW = 10
@@ -95,16 +95,9 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[
     yield block
 
 
-_BUILT: dict[int, Automaton] = {}
-
-
 def _automaton(held) -> Automaton:
-    """The automaton of a broadcast block, built once by each worker; the last one is kept."""
-    key = hash(tuple(held.value))
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton(held.value)
-    return _BUILT[key]
+    """The automaton of a broadcast block, built once by each worker."""
+    return tool(("automaton", hash(tuple(held.value))), lambda: Automaton(held.value))
 
 
 RESULT = "n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"

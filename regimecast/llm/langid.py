@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regimecast.llm.common import col, with_fields
+from regimecast.llm.common import col, tool, with_fields
 
 DIMENSIONS, SEED, UNKNOWN = 1024, 20240607, "und"
 #: More labels than this are not languages; training then raises an error.
@@ -105,7 +105,7 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np
 
 def _sums(dimensions: int) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places, total = _letter_vectors(dimensions), {}
+        places, total = tool(("letters", dimensions), lambda: _letter_vectors(dimensions)), {}
         for frame in frames:
             labels = frame["label"].tolist()
             for rows, counts, used in _blocks(frame["text"].tolist()):
@@ -123,15 +123,13 @@ def _sums(dimensions: int) -> Callable:
 
 def _predictor(labels: list[str], profiles: np.ndarray) -> Callable:
     units = (profiles / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-12)).astype(np.float64)
-    cache: dict[str, list[np.ndarray]] = {}
 
     def run(texts: pd.Series) -> pd.DataFrame:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if labels:
-            if not cache:
-                cache["places"] = _letter_vectors(units.shape[1])
+            places = tool(("letters", units.shape[1]), lambda: _letter_vectors(units.shape[1]))
             for rows, counts, used in _blocks(texts.tolist()):
-                vectors = counts.astype(np.float32) @ _bind(used, cache["places"])
+                vectors = counts.astype(np.float32) @ _bind(used, places)
                 norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
                 cosines = vectors.astype(np.float64) @ units.T / norms[:, None]
                 best = cosines.argmax(axis=1)

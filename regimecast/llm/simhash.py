@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regimecast.llm.common import col, fresh, spaced_words
+from regimecast.llm.common import col, fresh, spaced_words, tool
 from regimecast.session import materialise
 
 SEGMENTS, SEGMENT_BITS, SEED, SHINGLE, MAX_BITS = 4, 16, 42, 3, 2
@@ -51,6 +51,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _signed(texts: pd.Series) -> pd.Series:
+    tool(("fingerprints",), tuple)
     return pd.Series([fingerprint(t) for t in texts], dtype="uint64").astype("int64")
 
 

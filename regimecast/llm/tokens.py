@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from regimecast.llm.common import col
+from regimecast.llm.common import col, tool
 from regimecast.session import scratch_path
 
 END_ID = 2
@@ -200,16 +200,9 @@ class CachedEncoder:
 _ANY_WIDE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 _WIDE_SPACE = re.compile(r"\s\s")
 _INNER_SPACE = re.compile(r"(?<=\S)(?= \S)")
-_ENCODERS: dict[int, CachedEncoder] = {}
-
-
 def encoder(held) -> CachedEncoder:
     """The encoder of a broadcast vocabulary, one for each worker."""
-    key = hash(held.value)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = CachedEncoder(held.value)
-    return _ENCODERS[key]
+    return tool(("encoder", hash(held.value)), lambda: CachedEncoder(held.value))
 
 
 def vocabulary_of(path: str) -> str:
@@ -227,9 +220,9 @@ def train_dictionary(docs: DataFrame, held, end_id: int = END_ID) -> bytes:
     sample = docs.where((F.xxhash64("doc_id") <= min(limit, (1 << 63) - 1)) & (F.octet_length("text") <= SAMPLE_DOC_BYTES))
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = encoder(held)
+        coder = encoder(held)
         for frame in frames:
-            yield pd.DataFrame({"ids": [tool.encode(t) + tool.pack([end_id]) for t in frame["text"]]})
+            yield pd.DataFrame({"ids": [coder.encode(t) + coder.pack([end_id]) for t in frame["text"]]})
 
     rows = sample.select("text").limit(2 * SAMPLE_DOCS).mapInPandas(pack, "ids binary").collect()
     try:
@@ -242,23 +235,23 @@ def _shards(held, dictionary: bytes, end_id: int):
     digest = hashlib.sha256(dictionary).hexdigest() if dictionary else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(held)
+        coder = encoder(held)
         extra = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
         squeeze = zstandard.ZstdCompressor(level=3, **extra).compress
-        end, ids, counts, parts, size, shard, part = tool.pack([end_id]), [], [], [], 0, 0, 0
+        end, ids, counts, parts, size, shard, part = coder.pack([end_id]), [], [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
             offsets = np.cumsum([0, *map(len, parts)]).tolist()
-            values = (part, shard, tool.width, digest, ids, counts, offsets, b"".join(parts))
+            values = (part, shard, coder.width, digest, ids, counts, offsets, b"".join(parts))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _ARROW)], names=_NAMES)
 
         for batch in batches:
             for piece in _pieces(batch):
                 part = piece.column("part")[0].as_py()
-                for doc_id, packed in zip(piece.column("doc_id").to_pylist(), tool.encode_many(piece.column("text"))):
+                for doc_id, packed in zip(piece.column("doc_id").to_pylist(), coder.encode_many(piece.column("text"))):
                     packed += end
                     ids.append(doc_id)
-                    counts.append(len(packed) // tool.width)
+                    counts.append(len(packed) // coder.width)
                     parts.append(squeeze(packed))
                     size += len(parts[-1])
                     if size >= SHARD_BYTES:
