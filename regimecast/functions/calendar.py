@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -27,9 +28,17 @@ def naive(column: Column) -> Column:
     return column.cast("timestamp_ntz")
 
 
+def _shape(fmt: str) -> str:
+    """The strings a format of plain two- and four-digit fields can read, as a regular expression."""
+    return "^" + re.sub(r"([a-zA-Z])\1*", lambda m: rf"\d{{{len(m[0])}}}", re.sub(r"([.])", r"\\\1", fmt)) + "$"
+
+
 def parse_mixed(column: str | Column, formats: Sequence[str] = DAY_FIRST_FORMATS) -> Column:
-    """The first format that fits; null when none does."""
-    return naive(F.coalesce(*[F.try_to_timestamp(column, F.lit(f)) for f in formats]))
+    """The first format that fits; null when none does. Only formats of the string's shape are tried."""
+    column = F.col(column) if isinstance(column, str) else column
+    return naive(
+        F.coalesce(*[F.when(column.rlike(_shape(f)), F.try_to_timestamp(column, F.lit(f))) for f in formats])
+    )
 
 
 def parse_fixed(column: str | Column, fmt: str) -> Column:

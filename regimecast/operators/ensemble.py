@@ -9,7 +9,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regimecast.operators.ordering import Keys
+from regimecast.operators.ordering import Keys, join_params
 
 
 def average(df: DataFrame, row_key: Sequence[str]) -> DataFrame:
@@ -24,7 +24,7 @@ def average(df: DataFrame, row_key: Sequence[str]) -> DataFrame:
 def weighted(df: DataFrame, row_key: Sequence[str], weights: DataFrame, weight_keys: Keys = ()) -> DataFrame:
     """Weights per model (and ``weight_keys``), normalised over the models present; a model without
     a weight counts 1, and a zero total falls back to the average."""
-    joined = df.join(weights, [*weight_keys, "model"], "left").withColumn(
+    joined = join_params(df, weights, [*weight_keys, "model"]).withColumn(
         "_w", F.coalesce("weight", F.lit(1.0))
     )
     total = F.sum("_w")

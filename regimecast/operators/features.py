@@ -257,6 +257,8 @@ def size_ladder(
     df: DataFrame, keys: Keys, order: Sequence[str], sizes: Sequence[int] = (1000, 5000, 10000, 20000)
 ) -> DataFrame:
     """Every prefix of the ladder in one frame, tagged ``size``; a row is in each prefix that holds it."""
+    if not keys:
+        df = df.orderBy(*_cols(order)).limit(max(sizes))  # a top-n: nothing beyond the ladder is ranked
     placed = row_index(df, keys, _cols(order), "_i")
     held = F.array_compact(F.array(*[F.when(F.col("_i") < s, F.lit(s)) for s in sizes]))
     return placed.withColumn("size", F.explode(held)).drop("_i")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimecast.operators.ordering import Keys, join_params
@@ -44,14 +44,24 @@ def apply(
     return rows.select(*df.columns, scaled.alias(name))
 
 
+def _back(z: Column, method: str) -> Column:
+    if method == "min_max":
+        return z * (F.col(_P + "hi") - F.col(_P + "lo")) + F.col(_P + "lo")
+    return z * F.col(_P + "sd") + F.col(_P + "mu")
+
+
 def invert(
     df: DataFrame, params: DataFrame, keys: Keys, value: str, method: str = "min_max", name: str = "y"
 ) -> DataFrame:
     rows = _attach(df, params, keys, method)
-    z = F.col(value)
-    if method == "min_max":
-        back = z * (F.col(_P + "hi") - F.col(_P + "lo")) + F.col(_P + "lo")
-    else:
-        back = z * F.col(_P + "sd") + F.col(_P + "mu")
     kept = [c for c in df.columns if c != name]
-    return rows.select(*kept, back.alias(name))
+    return rows.select(*kept, _back(F.col(value), method).alias(name))
+
+
+def invert_all(
+    df: DataFrame, params: DataFrame, keys: Keys, columns: dict[str, str], method: str = "min_max"
+) -> DataFrame:
+    """Columns {source: name} back in original units by one join; the sources go."""
+    rows = _attach(df, params, keys, method)
+    kept = [c for c in df.columns if c not in columns and c not in columns.values()]
+    return rows.select(*kept, *[_back(F.col(c), method).alias(n) for c, n in columns.items()])

@@ -4,11 +4,16 @@ A series that fits one task is served by an ordinary window partitioned by the s
 key. A series with more rows than ``spark.regimecast.maxGroupRows`` is spread over tasks:
 a range-partitioned sort gives every row its exact position, positions are cut into
 equal blocks, and each block borrows the neighbouring rows its frames reach (the halo).
-Both ways give the same rows.
+Both ways give the same rows. A frame without keys is one series of unknown size and always
+takes the second way.
+
+Rows are always counted, whatever the size of the files. Columns that windows add do not change
+the count's optimised plan, so a chain of operators over one frame counts once.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -18,7 +23,9 @@ from pyspark.sql import functions as F
 from regimecast.session import materialise
 
 MAX_GROUP_ROWS = ("spark.regimecast.maxGroupRows", "5000000")
-SMALL_INPUT_BYTES = ("spark.regimecast.smallInputBytes", str(64 << 20))
+
+# A list of series is broadcast up to this length; beyond it the join is left to Spark.
+MAX_BROADCAST_KEYS = 100_000
 
 Keys = Sequence[str]
 
@@ -31,29 +38,35 @@ def group_limit(df: DataFrame) -> int:
     return _conf(df, MAX_GROUP_ROWS)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of everything the frame reads: files, cached and local relations.
-
-    The estimate of the whole plan is no use here, because it multiplies the two sides of a join.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+# Decisions by plan, newest last. They only choose between two ways to the same rows.
+_DECIDED: OrderedDict[tuple, DataFrame | None] = OrderedDict()
+_KEPT_DECISIONS = 512
 
 
 def oversized_groups(df: DataFrame, keys: Keys) -> DataFrame | None:
-    """Keys with more rows than one task should hold, with their counts; None if there are none.
+    """Keys with more rows than one task should hold, with their counts ``_n``; None if there are none.
 
-    There are at most rows / limit such keys, so the list stays small however large the table is.
-    Input of a few megabytes cannot hold such a group and is not counted.
+    The keys stay a frame of Spark's: there is one for every ``limit`` rows at most, which still
+    grows with the data. Without keys the one row is the size of the frame.
     """
     limit = group_limit(df)
-    if input_bytes(df) <= _conf(df, SMALL_INPUT_BYTES):
-        return None
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    rows = counts.collect()
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, counts.schema)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if not keys:
+        return counts
+    plan = counts._jdf.queryExecution().optimizedPlan().canonicalized()
+    entry = (df.sparkSession.sparkContext.applicationId, limit, tuple(keys), plan.hashCode(), plan.toString())
+    if entry not in _DECIDED:
+        big = counts.where(F.col("_n") > limit)
+        _DECIDED[entry] = None if big.isEmpty() else materialise(big)
+        if len(_DECIDED) > _KEPT_DECISIONS:
+            _DECIDED.popitem(last=False)
+    _DECIDED.move_to_end(entry)
+    return _DECIDED[entry]
+
+
+def _listed(df: DataFrame, length: int) -> DataFrame:
+    """A list of oversized series with a broadcast hint, if its counted length allows one."""
+    return F.broadcast(df) if length <= MAX_BROADCAST_KEYS else df
 
 
 def _same_key(left: DataFrame, right: DataFrame, keys: Keys) -> Column:
@@ -66,7 +79,8 @@ def _split(df: DataFrame, keys: Keys, big: DataFrame) -> tuple[DataFrame | None,
     """Rows of ordinary groups (None when there is no key) and rows of oversized groups."""
     if not keys:
         return None, df
-    big = F.broadcast(big)
+    df = materialise(df)  # both sides read it
+    big = _listed(big, big.count())
     return (
         df.join(big, _same_key(df, big, keys), "left_anti"),
         df.join(big, _same_key(df, big, keys), "left_semi"),
@@ -80,10 +94,13 @@ def series_window(keys: Keys, order: Sequence[str | Column]) -> WindowSpec:
 def _ranged_index(
     df: DataFrame, keys: Keys, order: Sequence[str | Column], name: str, big: DataFrame
 ) -> DataFrame:
-    """Positions by a range-partitioned sort, in tasks of about half the group limit."""
-    total = sum(row["_n"] for row in big.collect())
+    """Positions by a range-partitioned sort, in tasks of about half the group limit.
+
+    A hash of the whole row is the last sort key, so that rows of one sort value can be parted too.
+    """
+    total, groups = big.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
     parts = max(2, -(-2 * total // group_limit(df)))
-    by = [*[F.col(k) for k in keys], *order]
+    by = [*[F.col(k) for k in keys], *order, F.xxhash64(*df.columns)]
     ranged = materialise(
         df.repartitionByRange(parts, *by)
         .sortWithinPartitions(*by)
@@ -106,12 +123,11 @@ def _ranged_index(
     )
     if not keys:
         return placed
-    # Only oversized groups come here, so there are few starts.
     start = placed.groupBy(*keys).agg(F.min(name).alias("_start"))
     start = start.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_start")
     match = reduce(lambda a, b: a & b, [placed[k].eqNullSafe(start[f"_k_{k}"]) for k in keys])
     return (
-        placed.join(F.broadcast(start), match)
+        placed.join(_listed(start, groups), match)
         .withColumn(name, F.col(name) - F.col("_start"))
         .drop("_start", *[f"_k_{k}" for k in keys])
     )
@@ -285,44 +301,41 @@ def grouped(
     the order statistics are looked up by position after a distributed sort.
     """
     quantiles = quantiles or {}
+    by_column: dict[str, list[tuple[str, float]]] = {}
+    for name, (column, p) in quantiles.items():
+        by_column.setdefault(column, []).append((name, float(p)))
 
     def plain(d: DataFrame) -> DataFrame:
-        exact = {n: F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in quantiles.items()}
-        cols = [c.alias(n) for n, c in aggs.items()] + list(exact.values())
-        return d.groupBy(*keys).agg(*cols)
+        # One buffer of values for each column, however many quantiles are asked of it.
+        at = {c: F.percentile(c, F.array(*[F.lit(p) for _, p in asked])) for c, asked in by_column.items()}
+        held = d.groupBy(*keys).agg(
+            *[c.alias(n) for n, c in aggs.items()], *[v.alias(f"_q_{i}") for i, v in enumerate(at.values())]
+        )
+        picks = {n: F.col(f"_q_{i}")[k] for i, asked in enumerate(by_column.values()) for k, (n, _) in enumerate(asked)}
+        return held.select(*keys, *aggs, *[picks[n].alias(n) for n in quantiles])
 
     big = oversized_groups(df, keys) if quantiles else None
-    if big is None:
+    if big is None or not keys and big.first()["_n"] <= group_limit(df):
         return plain(df)
     small, large = _split(df, keys, big)
-    large = materialise(large)
-    tag = [F.col(k).alias(f"_k_{k}") for k in keys]
+    if not keys:
+        large = materialise(large)
     anchor = [c.alias(n) for n, c in aggs.items()] or [F.count(F.lit(1)).alias("_rows")]
     out = large.groupBy(*keys).agg(*anchor)
-    for column in sorted({c for c, _ in quantiles.values()}):
-        values = large.where(F.col(column).isNotNull()).select(*keys, column)
-        sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        ranked = _ranged_index(values, keys, [F.col(column)], "_i", big)
-        sizes = sizes.select(*tag, "_n")
-        match = reduce(
-            lambda a, b: a & b, [ranked[k].eqNullSafe(sizes[f"_k_{k}"]) for k in keys], F.lit(True)
-        )
-        ranked = ranked.join(F.broadcast(sizes), match).drop(*[f"_k_{k}" for k in keys])
+    for column, asked in by_column.items():
+        # Equal values are counted before they are ordered, so a hot value is one row.
+        counts = large.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+        ranked = running_sums(materialise(counts), keys, [column], {"_upto": F.col("_n")})
+        ranked = join_params(ranked, counts.groupBy(*keys).agg(F.sum("_n").alias("_all")), keys)
         picks = []
-        for name, (source, p) in quantiles.items():
-            if source != column:
-                continue
-            at = F.lit(float(p)) * (F.col("_n") - 1)
-            low = F.max(F.when(F.col("_i") == F.floor(at), F.col(column)))
-            high = F.max(F.when(F.col("_i") == F.ceil(at), F.col(column)))
-            share = F.max(at - F.floor(at))
-            picks.append((low + (high - low) * share).alias(name))
+        for name, p in asked:
+            at = F.lit(p) * (F.col("_all") - 1)
+            holds = lambda i: (F.col("_upto") - F.col("_n") <= i) & (i < F.col("_upto"))
+            low = F.max(F.when(holds(F.floor(at)), F.col(column)))
+            high = F.max(F.when(holds(F.ceil(at)), F.col(column)))
+            picks.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
         found = ranked.groupBy(*keys).agg(*picks)
-        found = found.select(*tag, *[n for n, (c, _) in quantiles.items() if c == column])
-        match = reduce(
-            lambda a, b: a & b, [out[k].eqNullSafe(found[f"_k_{k}"]) for k in keys], F.lit(True)
-        )
-        out = out.join(found, match, "left").drop(*[f"_k_{k}" for k in keys])
+        out = join_params(out, found, keys) if keys else out.crossJoin(F.broadcast(found))  # one row each
     names = [*keys, *aggs, *quantiles]
     out = out.select(*names)
     return out if small is None else plain(small).select(*names).unionByName(out)

@@ -9,6 +9,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from regimecast.operators import clean, normalise
+from regimecast.operators.ordering import join_params
+from regimecast.session import materialise
 
 
 @dataclass(frozen=True)
@@ -21,14 +23,14 @@ class SeriesPreprocessor:
     method: str = "min_max"
 
     def fit(self, df: DataFrame) -> "SeriesPreprocessorModel":
-        filled = clean.fill(df, self.keys, self.order, self.value, self.fill)
+        filled = materialise(clean.fill(df, self.keys, self.order, self.value, self.fill))  # for three passes
         outliers = clean.outlier_params(filled, self.keys, self.value)
         repaired = clean.repair_outliers(
             filled, self.keys, self.order, self.value, self.outlier_z, outliers
         )
         scale = normalise.fit(repaired, self.keys, self.value)
-        params = outliers.join(scale, list(self.keys)) if self.keys else outliers.crossJoin(scale)
-        return SeriesPreprocessorModel(self, params)
+        # One row per series, stored: later transforms read it instead of fitting again.
+        return SeriesPreprocessorModel(self, materialise(join_params(outliers, scale, self.keys)))
 
 
 @dataclass(frozen=True)

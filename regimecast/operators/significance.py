@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from regimecast.functions.tails import chi2_p_value, normal_p_value, t_p_value
 from regimecast.operators import features
-from regimecast.operators.ordering import Keys, over_series, row_index
+from regimecast.operators.ordering import Keys, over_series, running_sums
 
 ALPHA = 0.05
 
@@ -105,11 +105,10 @@ def wilcoxon(
     d = F.abs("e1") - F.abs("e2")
     rows = df.select(*keys, d.alias("_d")).where(F.col("_d") != 0)
     rows = rows.select(*keys, F.abs("_d").alias("_a"), (F.col("_d") > 0).cast("long").alias("_up"))
-    placed = row_index(rows, keys, [F.col("_a")], "_i")
-    ties = placed.groupBy(*keys, "_a").agg(
-        F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), F.sum("_up").alias("_ups"), F.count(F.lit(1)).alias("_t")
-    )
-    rank = (F.col("_lo") + F.col("_hi")) / 2.0 + 1.0
+    # Equal values are one row before they are ordered.
+    ties = rows.groupBy(*keys, "_a").agg(F.sum("_up").alias("_ups"), F.count(F.lit(1)).alias("_t"))
+    ties = running_sums(ties, keys, [F.col("_a")], {"_upto": F.col("_t")})
+    rank = F.col("_upto") - (F.col("_t") - 1) / 2.0
     t = F.col("_t").cast("double")
     sums = ties.groupBy(*keys).agg(
         F.sum(rank * F.col("_ups")).alias("_plus"),

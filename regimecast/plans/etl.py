@@ -101,7 +101,7 @@ def run_sources(spark: SparkSession, sources: Sequence[Source], folder: str) ->
             row = done.agg(F.count(F.lit(1)), F.min(TS), F.max(TS), F.min(VALUE), F.max(VALUE)).first()
             report.append((source.name, source.kind, True, *row, len(done.columns), None))
         except Exception as error:  # noqa: BLE001 - isolation per source is the feature
-            report.append((source.name, source.kind, False, 0, None, None, None, None, 0, str(error)[:500]))
+            report.append((source.name, source.kind, False, 0, None, None, None, None, 0, str(error)))
     return spark.createDataFrame(
         report,
         "name string, kind string, ok boolean, total_rows bigint, first_ts timestamp_ntz, last_ts timestamp_ntz, "

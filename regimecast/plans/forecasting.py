@@ -141,12 +141,8 @@ class RegimeForecasterModel:
 
     def _original_units(self, scored: DataFrame) -> DataFrame:
         s, method = self.settings, self.prep.settings.method
-        for source, name in (("yhat", "yhat"), ("_lower", "lower"), ("_upper", "upper")):
-            scored = normalise.invert(scored, self.prep.params, list(s.keys), source, method, f"_o_{name}")
-        renamed = scored.drop("yhat", "_lower", "_upper")
-        for name in ("yhat", "lower", "upper"):
-            renamed = renamed.withColumnRenamed(f"_o_{name}", name)
-        return renamed
+        names = {"yhat": "yhat", "_lower": "lower", "_upper": "upper"}
+        return normalise.invert_all(scored, self.prep.params, list(s.keys), names, method)
 
     def score_features(self, df: DataFrame) -> DataFrame:
         return self._intervals(self.forest.transform(regime_columns(df, self.settings, self.dual)))
@@ -173,7 +169,12 @@ class RegimeForecasterModel:
         s = self.settings
         truth = df if truth is None else truth
         truth = truth.select(*s.keys, F.col(s.ts).alias("target_ts"), F.col(s.value).alias("_truth"))
-        framed = self._framed(df).join(truth, [*s.keys, "target_ts"])
+        truth = truth.select(*[F.col(k).alias(f"_t_{k}") for k in s.keys], F.col("target_ts").alias("_t_ts"), "_truth")
+        rows = self._framed(df)
+        match = rows["target_ts"] == truth["_t_ts"]
+        for k in s.keys:
+            match = match & rows[k].eqNullSafe(truth[f"_t_{k}"])
+        framed = rows.join(truth, match).drop("_t_ts", *[f"_t_{k}" for k in s.keys])
         out = self._original_units(self.score_features(framed))
         return out.select(
             *s.keys, F.col("target_ts").alias(s.ts), F.col("_truth").alias("y"), "yhat", "lower", "upper"
@@ -183,7 +184,8 @@ class RegimeForecasterModel:
         """Forecast ``steps`` rows past the end of every series, feeding predictions back.
 
         Each step scores all series at once. The state of a series is the array of its last
-        values, so a step is a projection; the lineage is cut every few steps.
+        values, so a step is a projection; the lineage is cut every few steps. A series with fewer
+        rows than the lags need gets one row per step with null forecasts.
         """
         s = self.settings
         keys, depth = list(s.keys), max(s.lags) + 1
@@ -195,7 +197,9 @@ class RegimeForecasterModel:
                 lambda e: e["v"],
             ).alias("recent"),
         )
-        state = materialise(state.where(F.size("recent") == depth))
+        state = materialise(state)
+        short = state.where(F.size("recent") < depth).select(*keys, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+        state = state.where(F.size("recent") == depth)
         done: DataFrame | None = None
         pending: list[str] = []
         for step in range(1, steps + 1):
@@ -217,7 +221,8 @@ class RegimeForecasterModel:
                 part = state.select(*keys, F.explode(F.array(*pending)).alias("_p")).select(*keys, "_p.*")
                 done = part if done is None else done.unionByName(part)
                 state, pending = state.select(*keys, "recent"), []
-        return self._original_units(done).select(*keys, "step", "yhat", "lower", "upper", "sigma", "indeterminacy")
+        names = [*keys, "step", "yhat", "lower", "upper", "sigma", "indeterminacy"]
+        return self._original_units(done).select(*names).unionByName(short, allowMissingColumns=True)
 
     def save(self, path: str) -> None:
         self.prep.save(f"{path}/preprocess")

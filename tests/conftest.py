@@ -28,10 +28,8 @@ def views(spark):
 def tiny_groups(spark):
     """Make every group above 40 rows count as oversized."""
     spark.conf.set("spark.regimecast.maxGroupRows", "40")
-    spark.conf.set("spark.regimecast.smallInputBytes", "0")
     yield
     spark.conf.unset("spark.regimecast.maxGroupRows")
-    spark.conf.unset("spark.regimecast.smallInputBytes")
 
 
 def rows(df, digits=9):
