@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regimecast.llm import reach_workers
+
 # Bytes as seen by the two word definitions, after A-Z are lower-cased. Bytes above 127 are never
 # separators in either, so whole UTF-8 texts can be cut without decoding them.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -32,6 +34,7 @@ def lower_ascii(text: Column) -> Column:
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    reach_workers(spark.sparkContext)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
