@@ -467,6 +467,43 @@ def _(v):
     return _r(sig.modified_diebold_mariano(_pairs(v), TYPE, ["ts"], p_values=False))
 
 
+def _normal_tail(z: str) -> str:
+    """Two-sided normal tail as SQL: one less twice the density times the sum of x^(2k+1) / (2k+1)!!."""
+    x = f"greatest(abs({z}), 1e-12)"
+    term = f"exp((2 * k + 1) * ln({x}) + k * ln(2.0) + lgamma(k + 1) - lgamma(2 * k + 2))"
+    return f"(1 - 2 * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: {term})))"
+
+
+TST1_STAT = f"SELECT event_type, avg(d) / sqrt(var_samp(d) / count(*)) AS z FROM ({_dm(2)}) GROUP BY 1"
+
+
+@query(
+    "tst1_p_values",
+    f"""SELECT event_type, round(p, 6) AS p_value, p < 0.05 AS significant
+        FROM (SELECT event_type, {_normal_tail('z')} AS p FROM ({TST1_STAT}))""",
+)
+def _(v):
+    out = sig.diebold_mariano(_pairs(v), TYPE, ["ts"])
+    return _r(out.select("event_type", "p_value", "significant"))
+
+
+TST3_STAT = """WITH d AS (SELECT event_type, d, abs(d) AS a FROM (SELECT event_type, abs(y - lag1) - abs(y - mean24) AS d FROM lagged) WHERE d <> 0),
+        r AS (SELECT event_type, d, rank() OVER (PARTITION BY event_type ORDER BY a) + (count(*) OVER (PARTITION BY event_type, a) - 1) / 2.0 AS r,
+            count(*) OVER (PARTITION BY event_type, a) AS t FROM d),
+        s AS (SELECT event_type, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS p, coalesce(sum(r) FILTER (d < 0), 0) AS m,
+            sum(t * t - 1)::DOUBLE AS tied FROM r GROUP BY 1),
+        z AS (SELECT event_type, (least(p, m) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tied / 48) AS z FROM s)"""
+
+
+@query(
+    "tst3_p_values",
+    f"""{TST3_STAT} SELECT event_type, round(p, 6) AS p_value, p < 0.05 AS significant
+        FROM (SELECT event_type, {_normal_tail('z')} AS p FROM z)""",
+)
+def _(v):
+    return _r(sig.wilcoxon(_pairs(v), TYPE).select("event_type", "p_value", "significant"))
+
+
 @query("tst2_modified_p_values")
 def _(v):
     return sig.modified_diebold_mariano(_pairs(v), TYPE, ["ts"], horizon=2)

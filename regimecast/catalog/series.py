@@ -87,6 +87,19 @@ def _(v):
     )
 
 
+@query(
+    "cln6_preprocess_null_series",
+    """SELECT nullif(event_type, 'view') AS event_type, ts, round(y, 6) AS y, round((y - lo) / (hi - lo), 6) AS y_norm
+       FROM nulled_repaired
+       JOIN (SELECT event_type, min(y) AS lo, max(y) AS hi FROM nulled_repaired GROUP BY 1) USING (event_type)""",
+)
+def _(v):
+    """A series whose key is null keeps its parameters."""
+    rows = v.hourly_gappy.withColumn("event_type", F.nullif("event_type", F.lit("view")))
+    stage = SeriesPreprocessor(TYPE, ["ts"], "y", outlier_z=2.5)
+    return stage.fit(rows).transform(rows).select("event_type", "ts", _r("y"), _r("y_norm"))
+
+
 # --- validation -------------------------------------------------------------------------
 
 
@@ -471,6 +484,19 @@ def _(v):
     return v.hourly_type.join(predictions, ["event_type", "ts"]).select("event_type", "ts", "y", "model", "yhat")
 
 
+@query(
+    "jon1_align_truth_null_series",
+    """SELECT nullif(h.event_type, 'view') AS event_type, h.ts, h.y, p.model, p.yhat
+       FROM hourly_type h JOIN pred_pairs p USING (event_type, ts)""",
+)
+def _(v):
+    key = F.nullif("event_type", F.lit("view")).alias("event_type")
+    truth = v.hourly_type.select(key, "ts", "y")
+    predictions = v.pred_pairs.select(key.alias("_k"), F.col("ts").alias("_ts"), "model", "yhat")
+    match = truth["event_type"].eqNullSafe(predictions["_k"]) & (truth["ts"] == predictions["_ts"])
+    return truth.join(predictions, match).select("event_type", "ts", "y", "model", "yhat")
+
+
 @query(
     "jon2_align_models",
     """SELECT event_type, ts, round(y - lag1, 6) + 0.0 AS lag1, round(y - lag24, 6) + 0.0 AS lag24, round(y - mean24, 6) + 0.0 AS mean24

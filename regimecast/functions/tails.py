@@ -84,10 +84,19 @@ def odd_chi2_upper(x: float, df: float) -> float:
 
 
 def normal_p_value(z: str | Column) -> Column:
-    def tail(zs: pd.Series) -> pd.Series:
-        return _each(normal_two_sided, zs)
-
-    return F.pandas_udf(tail, DoubleType())(z)
+    """Two-sided tail as a column: the series around zero, the continued fraction from three on."""
+    z = F.col(z) if isinstance(z, str) else z
+    x = F.abs(z.cast("double"))
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    ratio = lambda a, k: a["term"] * x * x / (2 * k + 1)
+    inner = F.aggregate(
+        F.sequence(F.lit(1), F.lit(80)),
+        F.struct(x.alias("term"), x.alias("total")),
+        lambda a, k: F.struct(ratio(a, k).alias("term"), (a["total"] + ratio(a, k)).alias("total")),
+        lambda a: 1 - 2 * density * a["total"],
+    )
+    outer = F.aggregate(F.sequence(F.lit(100), F.lit(1)), x, lambda a, k: x + k / a, lambda a: 2 * density / a)
+    return F.when(F.isnan(x), None).when(x < 3, inner).otherwise(outer)
 
 
 def t_p_value(t: str | Column, df: str | Column) -> Column:
