@@ -59,7 +59,7 @@ def completeness(
 def value_quality(df: DataFrame, keys: Keys, value: str, max_outliers: float = MAX_OUTLIERS) -> DataFrame:
     """Share outside the interquartile fences, negatives, and the constant-series error."""
     known = df.where(F.col(value).isNotNull())
-    edges = grouped(known, keys, {}, {"_q1": (value, 0.25), "_q3": (value, 0.75)})
+    edges = grouped(df, keys, {}, {"_q1": (value, 0.25), "_q3": (value, 0.75)})
     reach = IQR_REACH * (F.col("_q3") - F.col("_q1"))
     outside = (F.col(value) < F.col("_q1") - reach) | (F.col(value) > F.col("_q3") + reach)
     out = join_params(known, edges, keys).groupBy(*keys).agg(

@@ -106,3 +106,49 @@ def test_quantile_of_many_ties(spark, tiny_groups):
     wanted = {"low": ("y", 0.3), "mid": ("y", 0.5), "high": ("y", 0.9)}
     out = ordering.grouped(df, ["k"], {"n": F.count("y")}, wanted).first()
     assert (out["n"], out["low"], out["mid"], out["high"]) == (1000, 0.0, 1.0, 2.0)
+
+
+def largest_task(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("t")).count().collect())
+
+
+def test_default_limit_holds_for_well_packed_rows(spark):
+    """Six million rows of one key take a few megabytes as files, and still are not one task."""
+    df = spark.range(6_000_000).selectExpr("'a' as k", "id as i", "double(id % 7) as y")
+    out = ordering.over_series(df, ["k"], [F.col("i")], lambda w: {"p": F.lag("y", 3).over(w)}, 3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert largest_task(out) < ordering.group_limit(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert out.where("p is null").count() == 3
+
+
+def test_a_chain_of_operators_counts_once(spark, views):
+    frame = views.hourly_gappy.where("y is null or y >= 0")
+    before = set(ordering._DECIDED)
+    quality.report(frame, TYPE, "ts", "y")
+    assert len(set(ordering._DECIDED) - before) <= 1
+    lag = lambda n: lambda w: {f"p{n}": F.lag("y", n).over(w)}
+    once = ordering.over_series(frame, TYPE, by_ts(), lag(1), 1)
+    ordering.over_series(once, TYPE, by_ts(), lag(4), 4)
+    assert len(set(ordering._DECIDED) - before) <= 1
+
+
+def test_hot_sort_value_is_spread(spark, tiny_groups):
+    """Four fifths of a series share one sort value; no range takes them all."""
+    df = spark.range(2000).selectExpr("'a' as k", "if(id % 5 = 0, double(id), 0.0) as y", "id")
+    big = ordering.oversized_groups(df, ["k"])
+    placed = ordering._ranged_index(df, ["k"], [F.col("y")], "_i", big)
+    assert largest_task(placed) < 200
+    assert sorted(r["_i"] for r in placed.select("_i").collect()) == list(range(2000))
+
+
+def test_null_series_keeps_its_scale(spark):
+    from regimecast.operators.preprocess import SeriesPreprocessor
+
+    data = [(k, i, float(i + n)) for n, k in ((0, None), (5, "a")) for i in range(5)]
+    df = spark.createDataFrame(data, "k string, i int, y double")
+    out = SeriesPreprocessor(["k"], ["i"], "y").fit(df).transform(df).collect()
+    assert sorted((r["i"], r["y_norm"]) for r in out if r["k"] is None) == [(i, i / 4) for i in range(5)]
+    assert len(out) == 10
