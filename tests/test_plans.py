@@ -18,7 +18,7 @@ KEYED = [
 ]
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "AggregateInPandas")
 TRAINED = ("snk", "src3", "exp", "mdl2_tree", "mdl7", "mdl8", "mdl9", "ens4", "clu12_dual_fit", "clu5", "clu8_objective")
-LAZY = [n for n in entry.oracle_sql() if not n.startswith(TRAINED)]
+LAZY = [n for n in entry.oracle_sql() if not n.startswith(TRAINED) and not re.match(r"op\d+_|pipeline", n)]
 
 
 def plan(df, mode="executedPlan"):
