@@ -199,14 +199,31 @@ def _(v):
         array_to_string(list_filter([CASE WHEN m > 0 AND m / n <= 0.1 THEN 'some_missing' END,
             CASE WHEN outlier_ratio > 0.05 THEN 'many_outliers' END, CASE WHEN negatives > 0 THEN 'negative_values' END,
             CASE WHEN regular_ratio < 0.9 THEN 'irregular_steps' END, CASE WHEN large_values > 0 THEN 'large_values' END,
-            CASE WHEN variation IS NULL OR variation > 2 THEN 'high_variation' END], lambda e: e IS NOT NULL), ',') AS warnings
-       FROM (SELECT event_type, count(*) AS n, count(*) FILTER (y IS NULL) AS m FROM hourly_dirty GROUP BY 1)
+            CASE WHEN variation IS NULL OR variation > 2 THEN 'high_variation' END], lambda e: e IS NOT NULL), ',') AS warnings,
+        n AS total_rows, m AS missing, 0::BIGINT AS unreadable, round(mean, 6) AS mean, round(std, 6) AS std, minimum, maximum
+       FROM (SELECT event_type, count(*) AS n, count(*) FILTER (y IS NULL) AS m, avg(y) AS mean, stddev_pop(y) AS std,
+            min(y) AS minimum, max(y) AS maximum FROM hourly_dirty GROUP BY 1)
        JOIN dirty_quality USING (event_type) JOIN dirty_temporal USING (event_type) JOIN dirty_ranges USING (event_type)""",
 )
 def _(v):
     out = quality.report(v.hourly_dirty, TYPE, "ts", "y")
     joined = {c: F.array_join(c, ",") for c in ("errors", "warnings")}
-    return out.withColumns(joined)
+    return out.withColumns(joined | {c: rounded(c) for c in ("mean", "std")})
+
+
+@query(
+    "val6_report_text",
+    """SELECT event_type, false AS is_valid, n > 0 AS found, n AS unreadable FROM (
+        SELECT event_type, count(*) FILTER (epoch_ms(ts) // 3600000 % 13 = 0) AS n FROM hourly_type GROUP BY 1)""",
+)
+def _(v):
+    """A text column whose every thirteenth hour is no number: an error of structure."""
+    broken = F.when(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) % 13 == 0, "n/a")
+    rows = v.hourly_type.withColumn("y", F.coalesce(broken, F.col("y").cast("string")))
+    out = quality.report(rows, TYPE, "ts", "y")
+    return out.select(
+        "event_type", "is_valid", F.array_contains("errors", "unreadable_values").alias("found"), "unreadable"
+    )
 
 
 @query(

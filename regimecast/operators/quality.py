@@ -114,19 +114,49 @@ def value_ranges(
 def report(
     df: DataFrame, keys: Keys, ts: str, value: str, ingest_order: str | None = None, frequency: str = "H"
 ) -> DataFrame:
-    """All checks of a series in one row: is_valid, errors and warnings by name."""
+    """All checks of a series in one row: is_valid, errors and warnings by name, and its statistics.
+
+    Text columns are read as numbers and times first; what cannot be read is an error of structure,
+    and counts as missing in the other checks. A column that is not there raises.
+    """
+    absent = [c for c in (*keys, ts, value) if c not in df.columns]
+    if absent:
+        raise ValueError(f"columns {absent} are missing")
+    kinds = dict(df.dtypes)
+    text = {c: t for c, t in ((value, "double"), (ts, "timestamp_ntz")) if kinds[c] == "string"}
+    broken = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()) for c, t in text.items()]
+    y = F.col(value).try_cast("double")
+    # One pass for everything that is a plain aggregate.
+    basics = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.count_if(y.isNull()).alias("missing"),
+        sum(broken, F.lit(0)).cast("bigint").alias("unreadable"),
+        F.count_if(y > MAX_VALUE).alias("large_values"),
+        F.avg(y).alias("mean"),
+        F.stddev_pop(y).alias("std"),
+        F.min(y).alias("minimum"),
+        F.max(y).alias("maximum"),
+    )
+    df = df.withColumns({c: F.col(c).try_cast(t) for c, t in text.items()})
     parts = [
-        completeness(df, keys, value).withColumnRenamed("valid", "_complete"),
+        basics,
         value_quality(df, keys, value).withColumnRenamed("valid", "_quality"),
         temporal(df, keys, ts, ingest_order, frequency).withColumnRenamed("valid", "_temporal"),
-        value_ranges(df, keys, value),
     ]
     joined = reduce(lambda a, b: join_params(a, b, keys), parts)
+    variation = F.when(F.col("mean") > 0, F.col("std") / F.col("mean"))
+    joined = joined.withColumns(
+        {
+            "missing_ratio": F.col("missing") / F.col("total_rows"),
+            "noisy": variation.isNull() | (variation > MAX_VARIATION),
+        }
+    )
 
     def names(**flags: Column) -> Column:
         return F.array_compact(F.array(*[F.when(flag, F.lit(n)) for n, flag in flags.items()]))
 
     errors = names(
+        unreadable_values=F.col("unreadable") > 0,
         too_few_rows=F.col("total_rows") < MIN_ROWS,
         too_many_missing=F.col("missing_ratio") > MAX_MISSING,
         constant_values=F.col("constant"),
@@ -141,12 +171,20 @@ def report(
         large_values=F.col("large_values") > 0,
         high_variation=F.col("noisy"),
     )
-    valid = F.col("_complete") & F.col("_quality") & F.col("_temporal")
+    complete = (F.col("total_rows") >= MIN_ROWS) & (F.col("missing_ratio") <= MAX_MISSING)
+    valid = complete & (F.col("unreadable") == 0) & F.col("_quality") & F.col("_temporal")
     return joined.select(
         *keys,
         F.coalesce(valid, F.lit(False)).alias("is_valid"),
         errors.alias("errors"),
         warnings.alias("warnings"),
+        "total_rows",
+        "missing",
+        "unreadable",
+        "mean",
+        "std",
+        "minimum",
+        "maximum",
     )
 
 
