@@ -467,7 +467,7 @@ def _(v):
     return _r(sig.modified_diebold_mariano(_pairs(v), TYPE, ["ts"], p_values=False))
 
 
-def _normal_tail(z: str) -> str:
+def normal_tail_sql(z: str) -> str:
     """Two-sided normal tail as SQL: one less twice the density times the sum of x^(2k+1) / (2k+1)!!."""
     x = f"greatest(abs({z}), 1e-12)"
     term = f"exp((2 * k + 1) * ln({x}) + k * ln(2.0) + lgamma(k + 1) - lgamma(2 * k + 2))"
@@ -480,7 +480,7 @@ TST1_STAT = f"SELECT event_type, avg(d) / sqrt(var_samp(d) / count(*)) AS z FROM
 @query(
     "tst1_p_values",
     f"""SELECT event_type, round(p, 6) AS p_value, p < 0.05 AS significant
-        FROM (SELECT event_type, {_normal_tail('z')} AS p FROM ({TST1_STAT}))""",
+        FROM (SELECT event_type, {normal_tail_sql('z')} AS p FROM ({TST1_STAT}))""",
 )
 def _(v):
     out = sig.diebold_mariano(_pairs(v), TYPE, ["ts"])
@@ -498,7 +498,7 @@ TST3_STAT = """WITH d AS (SELECT event_type, d, abs(d) AS a FROM (SELECT event_t
 @query(
     "tst3_p_values",
     f"""{TST3_STAT} SELECT event_type, round(p, 6) AS p_value, p < 0.05 AS significant
-        FROM (SELECT event_type, {_normal_tail('z')} AS p FROM z)""",
+        FROM (SELECT event_type, {normal_tail_sql('z')} AS p FROM z)""",
 )
 def _(v):
     return _r(sig.wilcoxon(_pairs(v), TYPE).select("event_type", "p_value", "significant"))

@@ -6,9 +6,10 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from regimecast.catalog.evaluation import normal_tail_sql
 from regimecast.catalog.registry import define_view, query, rounded
 from regimecast.functions.tails import normal_quantile
-from regimecast.operators import ensemble, features, forest, intervals, metrics
+from regimecast.operators import ensemble, features, forest, intervals, metrics, significance
 from regimecast.operators.clustering import DualClusterer, hashed_memberships
 from regimecast.plans import etl, experiments
 from regimecast.plans.forecasting import (
@@ -315,6 +316,21 @@ def _(v):
     return _r(experiments.summarise(scores, "mean24", "event_type"), "rmse", "degradation")
 
 
+@query(
+    "exp9_significant_wins",
+    # Series are long enough that the normal tail decides like the Student tail of the library.
+    f"""WITH d AS (SELECT event_type, 'lag1' AS model, abs(y - mean24)^2 - abs(y - lag1)^2 AS d FROM lagged
+            UNION ALL SELECT event_type, 'lag24', abs(y - mean24)^2 - abs(y - lag24)^2 FROM lagged),
+        s AS (SELECT event_type, model, avg(d) / sqrt(var_samp(d) / count(*)) * sqrt((count(*) - 1.0) / count(*)) AS z FROM d GROUP BY 1, 2),
+        p AS (SELECT event_type, model, z, {normal_tail_sql('z')} AS p FROM s),
+        c AS (SELECT *, p * (3 - row_number() OVER (PARTITION BY event_type ORDER BY p, model)) AS corrected FROM p)
+       SELECT event_type, count(*) AS comparisons, count(*) FILTER (corrected < 0.05 AND z < 0) AS wins FROM c GROUP BY 1""",
+)
+def _(v):
+    tests = significance.against_reference(v.pred_pairs, TYPE, ROW, "mean24")
+    return experiments.significant_wins(tests, "event_type")
+
+
 TABLE = """SELECT ts, y, lag(y, 168) OVER (ORDER BY ts) AS far FROM {source}"""
 
 
