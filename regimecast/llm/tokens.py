@@ -37,7 +37,7 @@ from regimecast.session import scratch_path
 END_ID = 2
 #: A shard is closed when its frames reach this size.
 SHARD_BYTES = 4 << 20
-PIECE_BYTES = 4 << 20  # of text whose units are looked up together
+PIECE_BYTES = 2 << 20  # of text whose units are looked up together
 #: The dictionary is trained on about so many documents of at most so many bytes each, picked by a
 #: hash of doc_id; every document is compressed with it.
 SAMPLE_DOCS, SAMPLE_DOC_BYTES, DICT_BYTES = 400, 32 << 10, 64 << 10
@@ -47,7 +47,7 @@ SHARDS = (
 )
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_CACHE_PIECES = 1_000_000
+_CACHE_PIECES = 600_000
 
 
 class CachedEncoder:
