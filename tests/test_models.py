@@ -153,6 +153,27 @@ def test_recursive_first_step_is_the_direct_forecast(fitted):
     assert rows(first, 6) == rows(last, 6)
 
 
+def test_short_series_is_reported(fitted):
+    df, model = fitted
+    first = df.where("event_type = 'view'").orderBy("ts").limit(3)
+    steps = model.predict_recursive(df.where("event_type <> 'view'").unionByName(first), steps=3)
+    assert steps.where("event_type = 'view'").count() == 3
+    assert steps.where("event_type = 'view' AND yhat IS NOT NULL").count() == 0
+    assert steps.where("event_type <> 'view' AND yhat IS NULL").count() == 0
+
+
+def test_null_series_is_evaluated(fitted):
+    df, model = fitted
+    settings = model.settings
+    named = df.withColumn("event_type", F.nullif("event_type", F.lit("view")))
+    train = named.where("split = 'train'").drop("split")
+    refit = RegimeForecaster(settings).fit(train, dual=model.dual)
+    test = named.where("split = 'test'").drop("split")
+    scored = refit.evaluate(named.drop("split"), test)
+    assert scored.count() == test.count()
+    assert scored.where("event_type IS NULL AND yhat IS NOT NULL").count() > 0
+
+
 def test_saved_forecaster(spark, fitted):
     df, model = fitted
     path = scratch_path(spark, "forecaster")
