@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from regimecast.llm.common import col, tool, with_fields
 from regimecast.llm.tokens import vocabulary_of
 
-_CACHE = 250_000
+_CACHE = 500_000
 
 
 class ForcedBoundaryBpe:
