@@ -3,7 +3,8 @@
 Every node of the page's tree gets its characters per tag, lowered for text inside links. The node
 whose children have the largest sum of densities holds the article; the smallest density on the path
 from it up to the body is the threshold that other parts of the page have to reach. Parts that are
-furniture by their tag, role or class (menus, adverts, forms, comments ...) are cut off first.
+furniture by their tag or role (menus, forms ...) are cut off first. Class and id words (adverts,
+comments ...) only hint at it: such a part stays if it holds the page's article.
 """
 
 from __future__ import annotations
@@ -25,17 +26,17 @@ _TOKEN = re.compile(
     re.S,
 )
 _OPEN_END = re.compile(r"<[a-zA-Z/!?]")
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_STYLE = re.compile(r"style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _NAME = re.compile(r"[a-z]+|\d+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object".split())
-_FURNITURE = frozenset("nav footer aside form button select label fieldset dialog menu head video audio canvas map".split()) | _RAW
+_RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg".split())
+_FURNITURE = frozenset("nav footer aside form button select label fieldset dialog menu head video audio canvas map annotation annotation-xml".split()) | _RAW
 _BLOCK = frozenset(
     "html body main article section header div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption hr br address details summary hgroup center search".split()
-) | (_FURNITURE - {"button", "select", "label"})
+) | (_FURNITURE - {"button", "select", "label", "annotation", "annotation-xml"})
 _HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar side aside footer foot masthead topbar cookie cookies consent gdpr notice notices alert popup "
@@ -61,34 +62,96 @@ class _Tree:
     """Nodes in page order; ``parts`` of a node are texts and numbers of child nodes."""
 
     def __init__(self) -> None:
-        self.tags, self.parents, self.parts, self.cut = ["body"], [-1], [[]], [False]
+        self.tags, self.parents, self.parts, self.cut, self.hints = ["body"], [-1], [[]], [False], [0]
 
-    def add(self, parent: int, tag: str, cut: bool) -> int:
+    def add(self, parent: int, tag: str, cut: bool, hint: int = 0) -> int:
         node = len(self.tags)
         self.tags.append(tag)
         self.parents.append(parent)
         self.parts.append([])
         self.cut.append(cut or self.cut[parent])
+        self.hints.append(hint)
         self.parts[parent].append(node)
         return node
 
 
-def _furniture(tag: str, rest: str, inside_article: bool) -> bool:
-    if tag in _FURNITURE or (tag == "header" and not inside_article):
+def _attributes(rest: str) -> dict[str, str]:
+    """Names and values of a tag; of a repeated name the first one counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _furniture(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    if tag == "label" or tag == "header":
+        if not inside_article:
+            return True
+    elif tag in _FURNITURE:
         return True
-    if not rest or tag in ("html", "body", "main", "article"):
+    if not attributes or tag in ("html", "body", "main", "article"):
         return False
-    if _STYLE.search(rest):
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    for m in _ATTRIBUTE.finditer(rest):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value in _ROLES:
-            return True
-        if name in ("class", "id") and any(w in _HINTS for w in _NAME.findall(value)):
-            return True
-    return False
+    return attributes.get("role", "").lower() in _ROLES or bool(_STYLE.search(attributes.get("style", "")))
+
+
+def _hint(attributes: dict[str, str]) -> int:
+    """2 if a class or id consists of hint words, 1 if it has one among others (with-sidebar), else 0."""
+    found = 0
+    for name in ("class", "id"):
+        for token in attributes.get(name, "").lower().split():
+            words = [w for w in _NAME.findall(token) if not w.isdigit()]
+            if any(w in _HINTS for w in words):
+                found = max(found, 2 if all(w in _HINTS for w in words) else 1)
+    return found
+
+
+def _cut_hints(tree: _Tree) -> None:
+    """Cut the nodes that a class or id hints at, but not what holds the page's article.
+
+    A hinted node stays if it holds a main, or an article while no other stands outside of hinted nodes;
+    if the hint is one word among others, also if it has more text outside links than all that is not
+    hinted; and whatever its hint, if nothing else has any text.
+    """
+    if not any(tree.hints):
+        return
+    n = len(tree.tags)
+    chars, mains, articles = [0] * n, [0] * n, [0] * n
+    own, linked = [0] * n, [False] * n
+    for i in range(n):
+        linked[i] = tree.tags[i] == "a" or (i > 0 and linked[tree.parents[i]])
+        if not tree.cut[i] and not linked[i]:
+            own[i] = sum(len(" ".join(p.split())) for p in tree.parts[i] if isinstance(p, str))
+    for i in range(n - 1, -1, -1):
+        if tree.cut[i]:
+            continue
+        chars[i] += own[i]
+        mains[i] += tree.tags[i] == "main"
+        articles[i] += tree.tags[i] == "article" and not tree.hints[i]
+        if i:
+            for sums in (chars, mains, articles):
+                sums[tree.parents[i]] += sums[i]
+    asked = [bool(h) and t not in ("main", "article") for h, t in zip(tree.hints, tree.tags)]
+
+    def outside() -> tuple[int, int]:
+        """Text and articles that no node in question holds."""
+        under, text, found = [False] * n, 0, 0
+        for i in range(n):
+            under[i] = asked[i] or (i > 0 and under[tree.parents[i]])
+            if not under[i] and not tree.cut[i]:
+                text += own[i]
+                found += tree.tags[i] in ("main", "article") and not tree.hints[i]
+        return text, found
+
+    alone = outside()[1] == 0
+    asked = [a and not (mains[i] or (alone and articles[i])) for i, a in enumerate(asked)]
+    text = outside()[0]
+    asked = [a and not (tree.hints[i] == 1 and chars[i] > text) for i, a in enumerate(asked)]
+    if outside()[0] == 0:
+        asked = [a and not chars[i] for i, a in enumerate(asked)]
+    for i in range(1, n):
+        tree.cut[i] = tree.cut[i] or asked[i] or tree.cut[tree.parents[i]]
 
 
 def parse(page: str) -> _Tree:
@@ -112,7 +175,8 @@ def parse(page: str) -> _Tree:
             _before(tree, stack, tag)
             inside = any(tree.tags[n] in ("article", "main") for n in stack)
             rest = match["rest"] or ""
-            node = tree.add(stack[-1], tag, _furniture(tag, rest, inside))
+            attributes = _attributes(rest) if rest else {}
+            node = tree.add(stack[-1], tag, _furniture(tag, attributes, inside), _hint(attributes))
             if tag in _RAW and not rest.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
@@ -122,6 +186,7 @@ def parse(page: str) -> _Tree:
     rest = _OPEN_END.split(page[at:], maxsplit=1)[0]  # a tag or comment that never ends shows nothing
     if rest:
         tree.parts[stack[-1]].append(html.unescape(rest))
+    _cut_hints(tree)
     return tree
 
 
@@ -154,9 +219,10 @@ def _close(tree: _Tree, stack: list[int], tag: str) -> None:
 
 
 def densities(tree: _Tree) -> tuple[list[float], list[float]]:
-    """Composite text density of every node, and the sum of its children's.
+    """Composite text density of every node, and the sum of its child blocks' and of the text it holds itself.
 
-    Inline tags count as tags, but only blocks are summed: a bold first sentence is no child of its own.
+    Inline tags count as tags, but only blocks are summed: a bold first sentence is no child of its own,
+    but part of the block's own text, so a block without child blocks has its own density as the sum.
     """
     n = len(tree.tags)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
@@ -173,13 +239,29 @@ def densities(tree: _Tree) -> tuple[list[float], list[float]]:
             link_chars[up] += link_chars[i]
             link_tags[up] += link_tags[i]
     share = link_chars[0] / chars[0] if chars[0] else 0.0
+
+    def composite(c: int, t: int, lc: int, lt: int) -> float:
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * (lc or 1) + share * c + math.e)
+        return c / (t or 1) * math.log(max(c / (lc or 1) * (t or 1) / (lt or 1), 1.0)) / math.log(base)
+
+    # What of a block's counts lies in no child block with text.
+    left = [list(x) for x in zip(chars, tags, link_chars, link_tags)]
     density, total = [0.0] * n, [0.0] * n
     for i in range(n):
-        c, t, lc, lt = chars[i], tags[i] or 1, link_chars[i] or 1, link_tags[i] or 1
-        if not c:
+        density[i] = composite(chars[i], tags[i], link_chars[i], link_tags[i])
+        if i and chars[i] and tree.tags[i] in _BLOCK:
+            up = tree.parents[i]
+            while up and tree.tags[up] not in _BLOCK:
+                up = tree.parents[up]
+            for k, x in enumerate((chars[i], tags[i] + 1, link_chars[i], link_tags[i])):
+                left[up][k] -= x
+    for i in range(n):
+        if not tree.cut[i] and (not i or tree.tags[i] in _BLOCK):
+            total[i] += composite(*(max(x, 0) for x in left[i]))
+        if not density[i]:
             continue
-        base = math.log(c / max(c - link_chars[i], 1) * lc + share * c + math.e)
-        density[i] = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base)
         if i and tree.tags[i] in _BLOCK:
             up = tree.parents[i]
             while up and tree.tags[up] not in _BLOCK:

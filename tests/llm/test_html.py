@@ -54,3 +54,34 @@ def test_density_prefers_text_over_links():
     density, _ = H.densities(tree)
     linked, plain = tree.tags.index("a"), tree.tags.index("p")
     assert density[linked] < density[plain]
+
+
+SIDE = f"<div class=sidebar><p>{LONG} no</p></div>"
+KEPT = {
+    "values": (f"<article><p style='overflow:hidden'>{LONG}<p title='The hidden cost'>{LONG}<p><a href='/hidden-figures'>see</a> {LONG}</article>", 3),
+    "main": (f"<div class='content-sidebar-wrap'><main><p>{LONG}</main>{SIDE}</div>", 1),
+    "article": (f"<div class='with-sidebar'><article><p>{LONG}<p>{LONG}</article>{SIDE}</div>", 2),
+    "words": (f"<div class='post tags-news comments-open'><p>{LONG}<p>{LONG}</div><div class=comments><p>{LONG} no</div><p>short</p>", 2),
+    "teasers": (f"<article><p>{LONG}<p>{LONG}</article><div class=related><article><p>{LONG} no</article></div>", 2),
+    "leaf": (f"<div><a href=1>one</a> <a href=2>two</a></div><div>{LONG}<br>{LONG}</div><footer>no</footer>", 2),
+}
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_hints_do_not_cut_the_article(name):
+    page, times = KEPT[name]
+    text = H.main_text(page)
+    assert text.count(LONG) == times and " no" not in text
+
+
+def test_math_and_labels_of_an_article_stay():
+    page = f"<article><p>Let <math><mi>x</mi></math> be. {LONG}</p><p><label>Note</label> {LONG}</p></article><label>no</label>"
+    assert H.main_text(page) == f"Let x be. {LONG}\nNote {LONG}"
+
+
+def test_own_text_counts():
+    """A block without child blocks can be the one of the largest sum."""
+    tree = H.parse(f"<div><p>a</p></div><div>{LONG} {LONG}</div>")
+    density, total = H.densities(tree)
+    leaf = max(i for i, t in enumerate(tree.tags) if t == "div")
+    assert total[leaf] == density[leaf] > 0
