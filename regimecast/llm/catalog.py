@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from regimecast.llm import bpe, decontaminate, html_text, langid, licenses, line_dedup, quality_rules, simhash, suffixes, tokens
+from regimecast.llm import bpe, decontaminate, html_text, langid, licenses, line_dedup, pieces, quality_rules, simhash, suffixes, tokens
 from regimecast.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": lambda spark, d: bpe.op9_bpe(read(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
     "op10_simhash": lambda spark, d: simhash.op10_simhash(read(spark, d, "documents")),
+    "op11_sentencepiece": lambda spark, d: pieces.op11_sentencepiece(read(spark, d, "documents")),
 }
 SQL: dict[str, str] = {"op2_decontaminate": decontaminate.OP2_SQL, "op6_license_scan": licenses.OP6_SQL}
 if corpus_pipeline.ORACLE_SQL:
