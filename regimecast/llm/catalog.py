@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from regimecast.llm import bpe, decontaminate, html_text, langid, licenses, line_dedup, pieces, quality_rules, simhash, suffixes, tokens
+from regimecast.llm import bpe, decontaminate, html_text, importance, langid, lexical, licenses, line_dedup, pieces, quality_rules, simhash, suffixes, tokens
 from regimecast.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,7 +25,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op10_simhash": lambda spark, d: simhash.op10_simhash(read(spark, d, "documents")),
     "op11_sentencepiece": lambda spark, d: pieces.op11_sentencepiece(read(spark, d, "documents")),
+    "op12_lexical_search": lambda spark, d: lexical.op12_lexical_search(read(spark, d, "documents"), read(spark, d, "benchmark")),
+    "op13_importance_resampling": lambda spark, d: importance.op13_importance_resampling(
+        read(spark, d, "documents"), read(spark, d, "benchmark")
+    ),
 }
-SQL: dict[str, str] = {"op2_decontaminate": decontaminate.OP2_SQL, "op6_license_scan": licenses.OP6_SQL}
+SQL: dict[str, str] = {"op2_decontaminate": decontaminate.OP2_SQL, "op6_license_scan": licenses.OP6_SQL, "op12_lexical_search": lexical.OP12_SQL, "op13_importance_resampling": importance.OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
