@@ -96,12 +96,12 @@ def _(v):
 
 @query("clu1_hard_fit")
 def _(v):
-    return cq.fitted_hard(v.norm_user, "x", N_REGIMES, n_init=3)
+    return cq.fitted_hard(v.norm_user, "x", N_REGIMES)
 
 
 @query("clu5_fuzzy_random_fit")
 def _(v):
-    model = clustering.FuzzyCMeans(k=N_REGIMES, maxIter=20).fit(v.norm_user)
+    model = clustering.FuzzyCMeans(k=N_REGIMES).fit(v.norm_user)
     return cq.centre_table(v.norm_user, model.getOrDefault("centres"))
 
 
@@ -113,7 +113,7 @@ def _(v):
 
 @query("clu12_dual_fit")
 def _(v):
-    model = clustering.DualClusterer(k=N_REGIMES, maxIter=20, nInit=2).fit(v.norm_user)
+    model = clustering.DualClusterer(k=N_REGIMES).fit(v.norm_user)
     scored = regimes.tif(model.transform(v.norm_user), "k", "u", N_REGIMES)
     return regimes.regime_summary(scored)
 
@@ -197,12 +197,12 @@ def _(v):
 
 @query("clv6_recommend_k")
 def _(v):
-    return cq.recommend_k(v.emb_xy, "x", k_max=5, n_init=2)
+    return cq.recommend_k(v.emb_xy, "x")
 
 
 @query("clv6_recommend_k_elbow")
 def _(v):
-    return cq.recommend_k(v.norm_user, "x", k_max=5, method="elbow", n_init=1)
+    return cq.recommend_k(v.norm_user, "x", method="elbow")
 
 
 @query(

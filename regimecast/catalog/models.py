@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -26,10 +27,7 @@ from regimecast.sources.views import MODELS
 
 TYPE = ["event_type"]
 ROW = ["event_type", "ts"]
-# Small ensembles: the queries show the operators, the library defaults are the full sizes.
-SETTINGS = ForecastSettings(
-    keys=("event_type",), n_clusters=3, cluster_iterations=10, cluster_starts=1, trees=8, depth=5
-)
+SETTINGS = ForecastSettings(keys=("event_type",))
 POINT_NAMES = ("rmse", "mae", "r2")
 
 
@@ -116,9 +114,18 @@ def _(v):
     return v.spark.read.schema(scores.schema).json(path)
 
 
+#: The last forecasters of a session by data folder and settings; several queries look at the same one.
+_FITTED: OrderedDict[tuple, tuple] = OrderedDict()
+
+
 def _fitted(v, settings=SETTINGS):
-    rows = experiments.split_frame(v.hourly_type, settings)
-    return rows, RegimeForecaster(settings).fit(rows.where("split = 'train'").drop("split"))
+    key = (v.spark.sparkContext.applicationId, v.folder, settings)
+    if key not in _FITTED:
+        rows = experiments.split_frame(v.hourly_type, settings)
+        _FITTED[key] = rows, RegimeForecaster(settings).fit(rows.where("split = 'train'").drop("split"))
+        while len(_FITTED) > 4:
+            _FITTED.popitem(last=False)
+    return _FITTED[key]
 
 
 @query("snk3_saved_model_forecasts")
@@ -170,13 +177,13 @@ def _lagged_split(v, n_lags=24):
 @query("mdl7_vanilla_forest")
 def _(v):
     train, test, x = _lagged_split(v)
-    return forest.vanilla_forest(train, test, x, trees=8, depth=5).select(*ROW, "y", "yhat", "sigma")
+    return forest.vanilla_forest(train, test, x).select(*ROW, "y", "yhat", "sigma")
 
 
 @query("mdl8_boosted_trees")
 def _(v):
     train, test, x = _lagged_split(v)
-    return forest.boosted_trees(train, test, x, rounds=5, depth=4).select(*ROW, "y", "yhat", "sigma")
+    return forest.boosted_trees(train, test, x).select(*ROW, "y", "yhat", "sigma")
 
 
 define_view(
@@ -239,7 +246,7 @@ def _(v):
 
 @query("exp1_recursive_forecast")
 def _(v):
-    return _fitted(v)[1].predict_recursive(v.hourly_type, steps=6, cut_every=3)
+    return _fitted(v)[1].predict_recursive(v.hourly_type)
 
 
 @query("exp1_direct_forecast")
@@ -268,13 +275,13 @@ def _datasets(v):
 
 @query("exp4_baseline_comparison")
 def _(v):
-    predictions = experiments.compare_baselines(_datasets(v), SETTINGS, rounds=3)
+    predictions = experiments.compare_baselines(_datasets(v), SETTINGS)
     return experiments.score_table(predictions)
 
 
 @query("exp4_reference_tests")
 def _(v):
-    predictions = experiments.compare_baselines(_datasets(v), SETTINGS, names=["linear_lags"])
+    predictions = experiments.compare_baselines(_datasets(v), SETTINGS)
     return experiments.reference_tests(predictions, SETTINGS)
 
 
@@ -287,8 +294,7 @@ def _(v):
 @query("exp6_sensitivity")
 def _(v):
     rows = experiments.split_frame(v.hourly_type, SETTINGS)
-    grid = {"n_clusters": (3, 4), "fuzziness": (1.5, 2.5), "trees": (4, 8), "gamma": (1.5, 1.96), "beta": (0.5, 1.0)}
-    return experiments.sensitivity(rows, SETTINGS, grid)
+    return experiments.sensitivity(rows, SETTINGS)
 
 
 @query("exp7_cross_dataset")
@@ -299,8 +305,8 @@ def _(v):
 
 @query("exp8_robustness")
 def _(v):
-    rows = experiments.split_frame(v.hourly_type, SETTINGS)
-    return experiments.robustness(rows, SETTINGS, noise=(0.0, 0.1, 0.2), missing=(0.0, 0.1, 0.2))
+    rows, model = _fitted(v)
+    return experiments.robustness(rows, SETTINGS, model=model)
 
 
 @query(
@@ -441,13 +447,13 @@ TEST_ROWS = "SELECT event_type, n - n_train - n_val AS total_rows, 0::BIGINT AS
 @query("mdl7_vanilla_forest_rows", TEST_ROWS)
 def _(v):
     train, test, x = _lagged_split(v)
-    return _test_rows(forest.vanilla_forest(train, test, x, trees=4, depth=4))
+    return _test_rows(forest.vanilla_forest(train, test, x))
 
 
 @query("mdl8_boosted_trees_rows", TEST_ROWS)
 def _(v):
     train, test, x = _lagged_split(v)
-    return _test_rows(forest.boosted_trees(train, test, x, rounds=2, depth=3))
+    return _test_rows(forest.boosted_trees(train, test, x))
 
 
 @query("exp3_held_out_rows", TEST_ROWS)
@@ -458,10 +464,10 @@ def _(v):
 
 @query(
     "exp1_recursive_rows",
-    "SELECT event_type, s.step::INTEGER AS step, true AS ordered FROM series_rows, range(1, 5) s(step)",
+    "SELECT event_type, s.step::INTEGER AS step, true AS ordered FROM series_rows, range(1, 181) s(step)",
 )
 def _(v):
-    out = _fitted(v)[1].predict_recursive(v.hourly_type, steps=4, cut_every=2)
+    out = _fitted(v)[1].predict_recursive(v.hourly_type)
     ordered = (F.col("lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("upper"))
     return out.select("event_type", "step", ordered.alias("ordered"))
 
@@ -515,10 +521,10 @@ def _(v):
 
 @query(
     "clu12_dual_fit_rows",
-    "SELECT 3::BIGINT AS regimes, count(*) AS total_rows FROM hourly_user",
+    "SELECT 5::BIGINT AS regimes, count(*) AS total_rows FROM hourly_user",
 )
 def _(v):
-    model = DualClusterer(k=3, maxIter=5, nInit=1).fit(v.norm_user)
+    model = DualClusterer().fit(v.norm_user)
     return model.transform(v.norm_user).agg(
         F.count_distinct("k").alias("regimes"), F.count(F.lit(1)).alias("total_rows")
     )

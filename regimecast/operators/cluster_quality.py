@@ -5,16 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regimecast.operators import clustering, regimes
+from regimecast.operators import batched, clustering, regimes
 from regimecast.operators.ordering import join_params, running_sums
-from regimecast.session import kept
 
 
 @dataclass(frozen=True)
@@ -161,26 +159,32 @@ def elbow(scores: list[float]) -> int:
     return int(np.argmax(bend)) + 1
 
 
+RECOMMENDED = "k int, silhouette double, inertia double, recommended boolean"
+
+
 def recommend_k(
     df: DataFrame, x: str, k_max: int = 10, method: str = "silhouette", seed: int = 42, n_init: int = 10
 ) -> DataFrame:
-    """Silhouette and inertia for k = 2..K and which k is recommended."""
+    """Silhouette and inertia for k = 2..K and which k is recommended.
+
+    The fits of all k and all starts share their passes, and so do all silhouettes. With fewer than
+    three rows nothing is recommended.
+    """
     if method not in ("silhouette", "elbow"):
         raise ValueError(f"unknown method {method!r}; known: ['elbow', 'silhouette']")
-    found = []
-    with kept(df.select(array_to_vector(x).alias("_vec"))) as rows:
-        judge = ClusteringEvaluator(predictionCol="prediction", featuresCol="_vec")
-        for k in range(2, min(k_max, rows.count() - 1) + 1):
-            fits = [KMeans(featuresCol="_vec", k=k, seed=seed + i, maxIter=300).fit(rows) for i in range(n_init)]
-            best = min(fits, key=lambda m: m.summary.trainingCost)
-            found.append((k, judge.evaluate(best.transform(rows)), best.summary.trainingCost))
+    rows = batched.Rows(df, x)
+    ks = range(2, min(k_max, rows.count - 1) + 1)
+    if not ks:
+        return df.sparkSession.createDataFrame([], RECOMMENDED)
+    best = [min(fits, key=lambda f: f.cost) for fits in batched.fit_hard_many(rows, ks, n_init, seed).values()]
+    found = list(zip(ks, batched.silhouettes(rows, best), [f.cost for f in best]))
     if method == "silhouette":
         pick = max(range(len(found)), key=lambda i: found[i][1])
     else:
         pick = elbow([-cost for _, _, cost in found])
     return df.sparkSession.createDataFrame(
         [(k, float(s), float(c), i == pick) for i, (k, s, c) in enumerate(found)],
-        "k int, silhouette double, inertia double, recommended boolean",
+        RECOMMENDED,
     )
 
 

@@ -7,17 +7,15 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimecast.functions import vectors as vec
-from regimecast.operators import regimes
-from regimecast.session import kept
+from regimecast.operators import batched, regimes
 
 Centres = Sequence[Sequence[float]]
 
@@ -73,11 +71,6 @@ def _centre_sums(x: str, u: Sequence[str], fuzziness: float, width: int) -> list
     return out
 
 
-def _one_row(spark: SparkSession, now: Centres, past: Centres) -> DataFrame:
-    rows = [",".join("array(%s)" % ",".join(f"{float(v)!r}D" for v in c) for c in table) for table in (now, past)]
-    return spark.sql(f"SELECT * FROM VALUES (array({rows[0]}), array({rows[1]})) AS t(_now, _past)")
-
-
 def _objective(dist: Sequence[str], u: Sequence[str], fuzziness: float) -> Column:
     return F.expr("sum(" + " + ".join(f"{_power(s, fuzziness)} * {d} * {d}" for s, d in zip(u, dist)) + ")")
 
@@ -88,8 +81,7 @@ def fuzzy_objective(df: DataFrame, x: str, centres: Centres, fuzziness: float =
 
 
 class FuzzyCMeans(Estimator, _ClusterParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Fuzzy C-means. Every iteration is one aggregate over the features: the memberships of the
-    last two sets of centres are recomputed per row, so no row-sized state is carried."""
+    """Fuzzy C-means. Every iteration is one pass over the features that carries no row-sized state."""
 
     @keyword_only
     def __init__(self, *, featuresCol="x", k=5, fuzziness=2.0, maxIter=100, tol=1e-4, seed=42,
@@ -101,55 +93,34 @@ class FuzzyCMeans(Estimator, _ClusterParams, DefaultParamsReadable, DefaultParam
             raise ValueError("fuzziness must be above 1")
 
     def _fit(self, df: DataFrame) -> "FuzzyCMeansModel":
-        x, k, m = self._get("featuresCol"), self._get("k"), self._get("fuzziness")
-        width = df.select(F.size(x)).first()[0]
-        rows = df.select(x)
-        if width > vec.UNROLLED_WIDTH:
-            rows = rows.withColumn("_vec", array_to_vector(x))
-        with kept(rows) as held:
-            return self._iterate(held, x, k, m, width)
-
-    def _iterate(self, rows: DataFrame, x: str, k: int, m: float, width: int) -> "FuzzyCMeansModel":
-        def means(row) -> list[list[float]]:
-            # A cluster without weight moves to the origin.
-            return [[v if v is not None else 0.0 for v in row[f"_c{j}"]] for j in range(k)]
-
-        before: Centres | None = None
-        if self.isSet(self.initCentres):
-            centres = self._get("initCentres")
-            k = len(centres)
-        else:
-            names = [f"_u{j}" for j in range(k)]
-            start = rows.withColumns(dict(zip(names, hashed_memberships(x, k, self._get("seed")))))
-            centres = means(start.agg(*_centre_sums(x, names, m, width)).first())
-        history, used = [], 0
-        for used in range(1, self._get("maxIter") + 1):
-            # The centres travel as one broadcast row, not as literals, so the compiled code of an
-            # iteration serves the next ones too.
-            held = F.broadcast(_one_row(rows.sparkSession, centres, before or centres))
-            df, d, u = regimes.soft_columns(rows.join(held), x, "_now", k, width, m, "_now_")
-            df, _, p = regimes.soft_columns(df, x, "_past", k, width, m, "_past_")
-            change = " + ".join(f"({a} - {b}) * ({a} - {b})" for a, b in zip(u, p))
-            aggs = [
-                *_centre_sums(x, u, m, width),
-                _objective(d, u, m).alias("_objective"),
-                F.expr(f"sqrt(sum({change}))").alias("_change"),
-            ]
-            row = df.agg(*aggs).collect()[0]
-            history.append(float(row["_objective"]))
-            if before is not None and row["_change"] < self._get("tol"):
-                break
-            if used < self._get("maxIter"):
-                before, centres = centres, means(row)
-        model = FuzzyCMeansModel(
-            centres=[[float(v) for v in c] for c in centres],
-            history=history,
-            iterations=used,
-            featuresCol=x,
-            fuzziness=m,
+        rows = batched.Rows(df, self._get("featuresCol"))
+        start = self._get("initCentres") if self.isSet(self.initCentres) else None
+        fit = soft_start(rows, self._get("k"), self._get("fuzziness"), self._get("seed"), start)
+        batched.fit_soft_many(rows, [fit], self._get("maxIter"), self._get("tol"))
+        return self._model(fit)
+
+    def _model(self, fit: batched.SoftClustering) -> "FuzzyCMeansModel":
+        return FuzzyCMeansModel(
+            centres=fit.centres.tolist(),
+            history=fit.history,
+            iterations=fit.passes,
+            featuresCol=self._get("featuresCol"),
+            fuzziness=self._get("fuzziness"),
             membershipCol=self._get("membershipCol"),
         )
-        return model
+
+
+def soft_start(
+    rows: batched.Rows, k: int, fuzziness: float, seed: int = 42, centres: Centres | None = None
+) -> batched.SoftClustering:
+    """A fuzzy fit at given centres, or at the means under random memberships; without weight a mean is the origin."""
+    if centres is None:
+        held = rows.frame if rows.width <= vec.UNROLLED_WIDTH else rows.frame.withColumn("_vec", array_to_vector("x"))
+        names = [f"_u{j}" for j in range(k)]
+        start = held.withColumns(dict(zip(names, hashed_memberships("x", k, seed))))
+        row = start.agg(*_centre_sums("x", names, fuzziness, rows.width)).first()
+        centres = [[v if v is not None else 0.0 for v in row[f"_c{j}"]] for j in range(k)]
+    return batched.SoftClustering(np.asarray(centres, float), fuzziness=fuzziness)
 
 
 class FuzzyCMeansModel(Model, _ClusterParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -174,19 +145,12 @@ class FuzzyCMeansModel(Model, _ClusterParams, DefaultParamsReadable, DefaultPara
 
 
 def fit_hard(
-    df: DataFrame, x: str, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4
+    df: DataFrame | batched.Rows, x: str, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4
 ) -> tuple[list[list[float]], float]:
-    """Centres and inertia of the best of ``n_init`` K-Means fits over cached vectors."""
-    best: tuple[list[list[float]], float] | None = None
-    with kept(df.select(array_to_vector(x).alias("_vec"))) as rows:
-        for attempt in range(n_init):
-            model = KMeans(
-                featuresCol="_vec", k=k, seed=seed + attempt, maxIter=max_iter, tol=tol
-            ).fit(rows)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = ([[float(v) for v in c] for c in model.clusterCenters()], cost)
-    return best
+    """Centres and inertia of the best of ``n_init`` K-Means fits, all fitted in the same passes."""
+    rows = df if isinstance(df, batched.Rows) else batched.Rows(df, x)
+    best = min(batched.fit_hard_many(rows, [k], n_init, seed, max_iter, tol)[k], key=lambda f: f.cost)
+    return best.centres.tolist(), float(best.cost)
 
 
 class DualClusterer(Estimator, _ClusterParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -205,13 +169,10 @@ class DualClusterer(Estimator, _ClusterParams, DefaultParamsReadable, DefaultPar
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "DualClustererModel":
-        x, k = self._get("featuresCol"), self._get("k")
-        hard, _ = fit_hard(df, x, k, self._get("seed"), self._get("nInit"), tol=self._get("tol"))
-        soft = FuzzyCMeans(
-            featuresCol=x, k=k, fuzziness=self._get("fuzziness"), maxIter=self._get("maxIter"),
-            tol=self._get("tol"), seed=self._get("seed"),
-        ).fit(df)
-        centres = soft.getOrDefault(soft.centres)
+        return fit_dual_many(df, [self])[0]
+
+    def _model(self, hard: Centres, soft: batched.SoftClustering) -> "DualClustererModel":
+        x, centres = self._get("featuresCol"), soft.centres.tolist()
         # K-Means may find fewer centres than asked for; then there is nothing to pair.
         if self._get("align") and len(hard) == len(centres):
             centres = [centres[j] for j in regimes.match_centres(hard, centres)]
@@ -221,6 +182,23 @@ class DualClusterer(Estimator, _ClusterParams, DefaultParamsReadable, DefaultPar
         )
 
 
+def fit_dual_many(df: DataFrame, stages: Sequence[DualClusterer]) -> list["DualClustererModel"]:
+    """The models of several stages over the same features; stages with equal limits share their passes."""
+    out: list[DualClustererModel | None] = [None] * len(stages)
+    alike: dict[tuple, list[int]] = {}
+    for i, s in enumerate(stages):
+        alike.setdefault(tuple(s._get(n) for n in ("featuresCol", "seed", "nInit", "tol", "maxIter")), []).append(i)
+    for (x, seed, starts, tol, passes), mine in alike.items():
+        rows = batched.Rows(df, x)
+        hard = batched.fit_hard_many(rows, sorted({stages[i]._get("k") for i in mine}), starts, seed, tol=tol)
+        soft = [soft_start(rows, stages[i]._get("k"), stages[i]._get("fuzziness"), seed) for i in mine]
+        batched.fit_soft_many(rows, soft, passes, tol)
+        for i, fit in zip(mine, soft):
+            best = min(hard[stages[i]._get("k")], key=lambda f: f.cost)
+            out[i] = stages[i]._model(best.centres.tolist(), fit)
+    return out
+
+
 class DualClustererModel(Model, _ClusterParams, DefaultParamsReadable, DefaultParamsWritable):
     hardCentres = Param(Params._dummy(), "hardCentres", "K-Means centres", TypeConverters.toListListFloat)
     softCentres = Param(Params._dummy(), "softCentres", "fuzzy centres", TypeConverters.toListListFloat)

@@ -6,7 +6,10 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressor,
     LinearRegression,
@@ -16,6 +19,11 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regimecast.session import kept, scratch_path
+
+_TASK_NUMBERS = 1 << 22
+#: Leaves of all trees whose values are broadcast, 8 bytes each.
+MAX_LEAVES = 4_000_000
 TIF_FEATURES = ("truth", "indeterminacy", "falsity")
 
 
@@ -24,6 +32,12 @@ def assemble(df: DataFrame, features: Sequence[str], name: str = "_features") ->
     return VectorAssembler(inputCols=list(features), outputCol=name, handleInvalid="error").transform(df)
 
 
+def _few_tasks(rows: DataFrame, width: int) -> DataFrame:
+    """Tasks of a few million numbers: every task of a training pass sends statistics of all nodes."""
+    tasks = max(1, -(-rows.count() * width // _TASK_NUMBERS))
+    return rows.coalesce(tasks) if tasks < rows.rdd.getNumPartitions() else rows
+
+
 @dataclass(frozen=True)
 class UncertainForest:
     """Random forest whose trees also give the spread of each prediction."""
@@ -46,30 +60,88 @@ class UncertainForest:
             featureSubsetStrategy=self.subset,
             minInstancesPerNode=self.min_rows,
             seed=self.seed,
+            # Deep trees: remember the node of every row and grow many nodes in a pass.
+            cacheNodeIds=True,
+            maxMemoryInMB=1024,
         )
         rows = assemble(df.select(*self.features, self.label), self.features).select("_features", self.label)
-        return UncertainForestModel(self, forest.fit(rows))
+        with kept(rows) as held:
+            return UncertainForestModel(self, forest.fit(_few_tasks(held, len(self.features))))
 
 
 @dataclass(frozen=True)
 class UncertainForestModel:
     settings: UncertainForest
     model: RandomForestRegressionModel = field(repr=False)
+    _nodes: list = field(default_factory=list, repr=False, compare=False)
 
     def transform(self, df: DataFrame, yhat: str = "yhat", sigma: str = "sigma") -> DataFrame:
-        """Mean of the trees and their population deviation, all inside the JVM."""
+        """Mean of the first ``settings.trees`` trees and their population deviation.
+
+        One ML transform finds the leaf of every tree, and the values of the leaves are looked up in a
+        broadcast table. A forest with more than ``MAX_LEAVES`` leaves is scored tree by tree instead.
+        """
         rows = assemble(df, self.settings.features)
+        n = min(self.settings.trees, self.model.getNumTrees)
+        table = self.leaf_values(df.sparkSession)
+        if table is None:
+            return self._tree_by_tree(rows, n, yhat, sigma)
+        ends = np.cumsum([0, *map(len, table)])[:n]
+        held = rows.sparkSession.sparkContext.broadcast((np.concatenate(table), ends))
+
+        def spread(leaves: pd.Series) -> pd.DataFrame:
+            values, starts = held.value
+            if not len(leaves):
+                return pd.DataFrame({"m": [], "s": []}, dtype=float)
+            votes = values[np.stack(leaves.to_numpy())[:, : len(starts)].astype(np.int64) + starts]
+            return pd.DataFrame({"m": votes.mean(axis=1), "s": votes.std(axis=1)})
+
+        model = self.model.copy().setLeafCol("_leaf").setPredictionCol("")
+        found = model.transform(rows).drop("_features")
+        both = F.pandas_udf(spread, "m double, s double")(vector_to_array("_leaf"))
+        names = [c for c in df.columns if c not in (yhat, sigma)]
+        found = found.select(*names, both.alias("_both"))
+        return found.select(*names, F.col("_both.m").alias(yhat), F.col("_both.s").alias(sigma))
+
+    def nodes(self, spark: SparkSession) -> pd.DataFrame | None:
+        """All nodes, tree after tree and in each tree its left part before its right one; None for a forest with too many leaves.
+
+        Columns: treeID, id, value, left, right (ids, below 0 at a leaf), feature, threshold.
+        """
+        if not self._nodes:
+            path = scratch_path(spark, "forest")
+            self.model.write().save(path)
+            rows = spark.read.parquet(f"{path}/data")
+            if rows.where("nodeData.leftChild < 0").count() > MAX_LEAVES:
+                self._nodes.append(None)
+            else:
+                split = F.col("nodeData.split")
+                table = rows.select(
+                    "treeID", "nodeData.id", F.col("nodeData.prediction").alias("value"), F.col("nodeData.leftChild").alias("left"),
+                    F.col("nodeData.rightChild").alias("right"), split["featureIndex"].alias("feature"),
+                    F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+                )
+                self._nodes.append(table.toPandas().sort_values(["treeID", "id"], ignore_index=True))
+        return self._nodes[0]
+
+    def leaf_values(self, spark: SparkSession) -> list[np.ndarray] | None:
+        """Per tree the values of its leaves from left to right; None for a forest with too many of them."""
+        table = self.nodes(spark)
+        if table is None:
+            return None
+        return [g["value"].to_numpy(float) for _, g in table[table["left"] < 0].groupby("treeID")]
+
+    def _tree_by_tree(self, rows: DataFrame, n: int, yhat: str, sigma: str) -> DataFrame:
         votes = []
-        for i, tree in enumerate(self.model.trees):
+        for i, tree in enumerate(self.model.trees[:n]):
             votes.append(f"_tree_{i}")
             rows = tree.setPredictionCol(votes[-1]).transform(rows)
         rows = rows.withColumn("_votes", F.array(*votes)).drop("_features", *votes)
-        n = float(len(votes))
-        rows = rows.withColumn(yhat, F.aggregate("_votes", F.lit(0.0), lambda a, t: a + t) / n)
+        rows = rows.withColumn(yhat, F.aggregate("_votes", F.lit(0.0), lambda a, t: a + t) / float(n))
         square = F.aggregate(
             "_votes", F.lit(0.0), lambda a, t: a + (t - F.col(yhat)) * (t - F.col(yhat))
         )
-        return rows.withColumn(sigma, F.sqrt(square / n)).drop("_votes")
+        return rows.withColumn(sigma, F.sqrt(square / float(n))).drop("_votes")
 
     def importance(self) -> DataFrame:
         """Features ranked by importance."""
@@ -125,7 +197,8 @@ def boosted_trees(
         stepSize=step, seed=seed,
     )
     rows = assemble(train, features)
-    fitted = booster.fit(rows)
+    with kept(rows.select("_features", label)) as held:
+        fitted = booster.fit(_few_tasks(held, len(features)))
     return _constant_sigma(fitted.transform(rows), fitted.transform(assemble(test, features)).drop("_features"))
 
 

@@ -6,12 +6,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import replace
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regimecast.operators import features, forest, metrics, significance
 from regimecast.operators.clean import fill
+from regimecast.operators.clustering import fit_dual_many
 from regimecast.operators.ordering import join_params, row_index
 from regimecast.plans.forecasting import (
     VARIANTS,
@@ -19,6 +22,7 @@ from regimecast.plans.forecasting import (
     RegimeForecaster,
     RegimeForecasterModel,
     model_features,
+    regime_features,
 )
 from regimecast.session import kept, materialise
 
@@ -33,6 +37,7 @@ SENSITIVITY = {
     "beta": (0.5, 1.0, 1.5, 2.0),
 }
 Z95 = 1.96
+PARALLEL_FITS = 8
 PROPOSED = "regime_forest"
 
 
@@ -127,13 +132,20 @@ def _shared_stages(rows: DataFrame, settings: ForecastSettings) -> tuple[RegimeF
         return plan, {"prep": prep, "dual": plan.discover(clean)}
 
 
+def _at_once(spark: SparkSession, tasks: Sequence[Callable[[], object]], parallelism: int = PARALLEL_FITS) -> list:
+    """Independent fits, a few at a time: the passes of one leave most of a cluster idle."""
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda task: task()), tasks)
+
+
 def ablation(rows: DataFrame, settings: ForecastSettings, variants: Sequence[str] = VARIANTS) -> DataFrame:
     """Predictions with real subsets of the features, and a linear model on lags.
 
     Preprocessing and regimes are the same for every subset and fitted once.
     """
     first, stages = _shared_stages(rows, settings)
-    frames = [proposed_predictions(rows, replace(first.settings, variant=v), v, **stages) for v in variants]
+    fit = lambda v: lambda: proposed_predictions(rows, replace(first.settings, variant=v), v, **stages)
+    frames = _at_once(rows.sparkSession, [fit(v) for v in variants])
     frames.append(baseline_predictions(rows, settings, ["linear_lags"]))
     return _union(frames)
 
@@ -141,37 +153,49 @@ def ablation(rows: DataFrame, settings: ForecastSettings, variants: Sequence[str
 def sensitivity(
     rows: DataFrame, settings: ForecastSettings, grid: dict[str, Sequence[float]] | None = None
 ) -> DataFrame:
-    """RMSE and coverage along each parameter, every run independent of the others.
+    """RMSE and coverage along each parameter, every setting by itself against the others' defaults."""
+    predictions = sensitivity_predictions(rows, settings, grid)
+    table = predictions.groupBy("parameter", "setting").agg(
+        metrics.point_metrics()["rmse"].alias("rmse"), F.avg(metrics.covered()).alias("picp")
+    )
+    order = Window.partitionBy("parameter").orderBy("rmse", "setting")
+    return table.withColumn("is_best", F.row_number().over(order) == 1)
+
+
+def sensitivity_predictions(
+    rows: DataFrame, settings: ForecastSettings, grid: dict[str, Sequence[float]] | None = None
+) -> DataFrame:
+    """Test forecasts of every setting: (keys, ts, y, yhat, lower, upper, parameter, setting).
 
-    Interval parameters do not change the fit and share one fitted model; the size of the forest
-    does not change the regimes, and nothing here changes the preprocessing.
+    Nothing here changes the preprocessing. The regimes of all settings are discovered in shared passes.
+    Interval parameters do not change the fit. The largest forest is fitted once, and a smaller one is its first trees.
     """
     grid = SENSITIVITY if grid is None else grid
     train, test, inputs = _part(rows, "train"), _part(rows, "test"), rows.drop("split")
-    _, stages = _shared_stages(rows, settings)
-    shared: RegimeForecasterModel | None = None
-    scored = []
+    trees = max([settings.trees, *map(int, grid.get("trees", ()))])
+    plans = {None: RegimeForecaster(replace(settings, trees=trees))}
+    for name in ("n_clusters", "fuzziness"):
+        for value in grid.get(name, ()):
+            if value != getattr(settings, name):
+                plans[name, value] = RegimeForecaster(replace(settings, **{name: value}))
+    prep = plans[None].preprocessor().fit(train)
+    with kept(prep.transform(train)) as clean:
+        duals = fit_dual_many(regime_features(clean), [p.clusterer() for p in plans.values()])
+    fit = lambda plan, dual: lambda: plan.fit(train, prep=prep, dual=dual)
+    fitted = dict(zip(plans, _at_once(rows.sparkSession, [fit(p, d) for p, d in zip(plans.values(), duals)])))
+    shared = fitted[None].with_trees(settings.trees)
+    out = []
     for name, values in grid.items():
         for value in values:
-            changed = replace(settings, **{name: value})
-            if name in ("gamma", "beta"):
-                shared = shared or RegimeForecaster(settings).fit(train, **stages)
+            if name == "trees":
+                model = fitted[None].with_trees(int(value))
+            elif name in ("gamma", "beta"):
                 model = replace(shared, settings=replace(shared.settings, **{name: value}))
-            elif name == "trees":
-                model = RegimeForecaster(changed).fit(train, **stages)
             else:
-                model = RegimeForecaster(changed).fit(train, prep=stages["prep"])
-            scored.append(
-                model.evaluate(inputs, test).agg(
-                    F.lit(name).alias("parameter"),
-                    F.lit(float(value)).alias("setting"),
-                    metrics.point_metrics()["rmse"].alias("rmse"),
-                    F.avg(metrics.covered()).alias("picp"),
-                )
-            )
-    table = _union(scored)
-    order = Window.partitionBy("parameter").orderBy("rmse", "setting")
-    return table.withColumn("is_best", F.row_number().over(order) == 1)
+                model = fitted.get((name, value), shared)
+            tags = {"parameter": F.lit(name), "setting": F.lit(float(value))}
+            out.append(model.evaluate(inputs, test).withColumns(tags))
+    return _union(out)
 
 
 def cross_dataset(datasets: dict[str, DataFrame], settings: ForecastSettings) -> DataFrame:
@@ -218,32 +242,55 @@ def remove_values(df: DataFrame, keys: Sequence[str], ts: str, value: str, rate:
     return join_params(shuffled, sizes, keys).withColumn(value, F.when(~gone, F.col(value))).select(*df.columns)
 
 
+def disturbed(
+    test: DataFrame,
+    settings: ForecastSettings,
+    noise: Sequence[float] = NOISE_LEVELS,
+    missing: Sequence[float] = MISSING_RATES,
+) -> DataFrame:
+    """The rows once for every kind of disturbance and level, which join the series keys as ``kind`` and ``level``.
+
+    Values and gaps of a level are those of ``add_noise`` and ``remove_values``; gaps are not filled yet.
+    """
+    s, keys = settings, list(settings.keys)
+    row_key = [*keys, s.ts]
+    facts = test.groupBy(*keys).agg(F.stddev_samp(s.value).alias("_sd"), F.count(F.lit(1)).alias("_n"))
+    placed = row_index(test, keys, [F.xxhash64(*[F.col(c) for c in row_key], F.lit(s.seed)), F.col(s.ts)], "_i")
+    levels = [F.struct(F.lit(k).alias("kind"), F.lit(float(v)).alias("level")) for k, vs in (("noise", noise), ("missing", missing)) for v in vs]
+    wide = join_params(placed, facts, keys).withColumn("_l", F.explode(F.array(*levels))).select("*", "_l.*")
+    z = F.sqrt(-2.0 * F.log(_unit(row_key, s.seed))) * F.cos(2.0 * F.pi() * _unit(row_key, s.seed + 1))
+    noisy = F.greatest(F.col(s.value) + F.col("level") * F.col("_sd") * z, F.lit(0.0))
+    gappy = F.when(F.col("_i") >= F.floor(F.col("_n") * F.col("level")), F.col(s.value))
+    changed = F.when(F.col("kind") == "noise", noisy).otherwise(gappy)
+    return wide.withColumn(s.value, changed).select("kind", "level", *test.columns)
+
+
 def robustness(
     rows: DataFrame,
     settings: ForecastSettings,
     noise: Sequence[float] = NOISE_LEVELS,
     missing: Sequence[float] = MISSING_RATES,
+    model: RegimeForecasterModel | None = None,
 ) -> DataFrame:
-    """RMSE on the clean test split when the test input is noisy or has gaps; one fitted model."""
+    """RMSE on the clean test split when the test input is noisy or has gaps; one fitted model.
+
+    Kind and level are part of the series key, so all levels are filled, framed and scored in one pass.
+    """
     s = settings
-    keys = list(s.keys)
-    model = RegimeForecaster(s).fit(_part(rows, "train"))
+    model = model or RegimeForecaster(s).fit(_part(rows, "train"))
     test = _part(rows, "test")
-    past = rows.where(F.col("split") != "test").drop("split")
-    scored = []
-    for kind, levels in (("noise", noise), ("missing", missing)):
-        for level in levels:
-            if kind == "noise":
-                touched = add_noise(test, keys, s.ts, s.value, level, s.seed)
-            else:
-                touched = fill(remove_values(test, keys, s.ts, s.value, level, s.seed), keys, [s.ts], s.value)
-            out = model.evaluate(past.unionByName(touched), test)
-            scored.append(
-                out.agg(
-                    F.lit(kind).alias("kind"), F.lit(float(level)).alias("level"), metrics.point_metrics()["rmse"].alias("rmse")
-                )
-            )
-    return _union(scored)
+    keys = ["kind", "level", *s.keys]
+    touched = fill(disturbed(test, s, noise, missing), keys, [s.ts], s.value)
+    tags = touched.sparkSession.createDataFrame(
+        [(k, float(v)) for k, vs in (("noise", noise), ("missing", missing)) for v in vs], "kind string, level double"
+    )
+    every = lambda df: df.join(F.broadcast(tags))  # noqa: E731  one row for each level
+    prep = model.prep
+    prep = replace(prep, settings=replace(prep.settings, keys=keys), params=every(prep.params))
+    by_level = replace(model, settings=replace(model.settings, keys=tuple(keys)), prep=prep)
+    past = every(rows.where(F.col("split") != "test").drop("split"))
+    scored = by_level.evaluate(past.unionByName(touched), every(test))
+    return scored.groupBy("kind", "level").agg(metrics.point_metrics()["rmse"].alias("rmse"))
 
 
 def summarise(scores: DataFrame, baseline: str, by: str = "dataset") -> DataFrame:

@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from regimecast.operators.clustering import DualClusterer, DualClustererModel
 from regimecast.operators.forest import UncertainForest, UncertainForestModel
 from regimecast.operators.ordering import last_rows, over_series
 from regimecast.operators.preprocess import SeriesPreprocessor, SeriesPreprocessorModel
+from regimecast.plans.recursion import Walker, walk
 from regimecast.session import kept, materialise
 
 # Fixed names of the feature sets an ablation can choose.
@@ -67,6 +69,11 @@ class ForecastSettings:
         return [*self.originals(), *sets[self.variant]]
 
 
+def regime_features(clean: DataFrame) -> DataFrame:
+    """What the regimes are discovered in."""
+    return clean.select(F.array("y_norm").alias("x"))
+
+
 def regime_columns(df: DataFrame, settings: ForecastSettings, dual: DualClustererModel) -> DataFrame:
     """Hard and soft regimes of the current value with T, I, F and their feature columns."""
     size = len(dual.getOrDefault("softCentres"))
@@ -102,12 +109,15 @@ class RegimeForecaster:
         s = self.settings
         return SeriesPreprocessor(list(s.keys), [s.ts], s.value, outlier_z=s.outlier_z)
 
-    def discover(self, clean: DataFrame) -> DualClustererModel:
+    def clusterer(self) -> DualClusterer:
         s = self.settings
         return DualClusterer(
             k=s.n_clusters, fuzziness=s.fuzziness, maxIter=s.cluster_iterations, seed=s.seed,
             nInit=s.cluster_starts, align=s.align,
-        ).fit(clean.select(F.array("y_norm").alias("x")))
+        )
+
+    def discover(self, clean: DataFrame) -> DualClustererModel:
+        return self.clusterer().fit(regime_features(clean))
 
     def fit(
         self,
@@ -133,6 +143,11 @@ class RegimeForecasterModel:
     dual: DualClustererModel = field(repr=False)
     forest: UncertainForestModel = field(repr=False)
 
+    def with_trees(self, trees: int) -> "RegimeForecasterModel":
+        """The model with the first ``trees`` trees of its forest."""
+        forest = replace(self.forest, settings=replace(self.forest.settings, trees=trees))
+        return replace(self, settings=replace(self.settings, trees=trees), forest=forest)
+
     def _intervals(self, scored: DataFrame) -> DataFrame:
         s = self.settings
         gamma = s.gamma if s.gamma is not None else normal_quantile(s.level)
@@ -183,9 +198,9 @@ class RegimeForecasterModel:
     def predict_recursive(self, df: DataFrame, steps: int = 180, cut_every: int = 10) -> DataFrame:
         """Forecast ``steps`` rows past the end of every series, feeding predictions back.
 
-        Each step scores all series at once. The state of a series is the array of its last
-        values, so a step is a projection; the lineage is cut every few steps. A series with fewer
-        rows than the lags need gets one row per step with null forecasts.
+        The state of a series is the array of its last values, and a task carries its series through all
+        steps. A forest with too many nodes for that takes one projection a step. A series with fewer rows
+        than the lags need gets one row per step with null forecasts.
         """
         s = self.settings
         keys, depth = list(s.keys), max(s.lags) + 1
@@ -200,6 +215,35 @@ class RegimeForecasterModel:
         state = materialise(state)
         short = state.where(F.size("recent") < depth).select(*keys, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
         state = state.where(F.size("recent") == depth)
+        table = self.forest.nodes(df.sparkSession)
+        if table is None:
+            done = self._step_by_step(state, steps, cut_every)
+        else:
+            held = df.sparkSession.sparkContext.broadcast(self._walker(table))
+            flat = F.pandas_udf(walk(held, steps), "array<double>")("recent")
+            points = state.select(*keys, flat.alias("_f"), F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+            part = lambda i: F.get("_f", 3 * (F.col("step") - 1) + i)
+            names = ["yhat", "sigma", "indeterminacy"]
+            done = self._intervals(points.select(*keys, "step", *[part(i).alias(n) for i, n in enumerate(names)]))
+        names = [*keys, "step", "yhat", "lower", "upper", "sigma", "indeterminacy"]
+        return self._original_units(done).select(*names).unionByName(short, allowMissingColumns=True)
+
+    def _walker(self, table) -> Walker:
+        s, f = self.settings, self.forest.settings
+        table = table[table["treeID"] < f.trees]
+        start = table.groupby("treeID").size().cumsum().shift(fill_value=0)
+        base = table["treeID"].map(start).to_numpy()
+        left, right = (np.where(table[c] >= 0, table[c] + base, -1) for c in ("left", "right"))
+        return Walker(
+            np.asarray(self.dual.getOrDefault("hardCentres")), np.asarray(self.dual.getOrDefault("softCentres")),
+            self.dual.getOrDefault("fuzziness"), tuple(s.lags), tuple(f.features), s.variant == "distance_indeterminacy",
+            table["feature"].to_numpy(), table["threshold"].to_numpy(float), left, right, table["value"].to_numpy(float), start.to_numpy(),
+        )
+
+    def _step_by_step(self, state: DataFrame, steps: int, cut_every: int = 10) -> DataFrame:
+        """The same with one projection a step, for a forest too large for the tasks; the lineage is cut every few steps."""
+        s, keys = self.settings, list(self.settings.keys)
+        depth = max(s.lags) + 1
         done: DataFrame | None = None
         pending: list[str] = []
         for step in range(1, steps + 1):
@@ -221,8 +265,7 @@ class RegimeForecasterModel:
                 part = state.select(*keys, F.explode(F.array(*pending)).alias("_p")).select(*keys, "_p.*")
                 done = part if done is None else done.unionByName(part)
                 state, pending = state.select(*keys, "recent"), []
-        names = [*keys, "step", "yhat", "lower", "upper", "sigma", "indeterminacy"]
-        return self._original_units(done).select(*names).unionByName(short, allowMissingColumns=True)
+        return done
 
     def save(self, path: str) -> None:
         self.prep.save(f"{path}/preprocess")

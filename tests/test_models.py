@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from regimecast.operators import features, forest, normalise
+from regimecast.operators import batched, clean, features, forest, metrics, normalise
 from regimecast.operators.clustering import DualClusterer, DualClustererModel, FuzzyCMeans, fit_hard
 from regimecast.operators.preprocess import SeriesPreprocessor, SeriesPreprocessorModel
 from regimecast.plans import experiments
@@ -153,6 +153,84 @@ def test_recursive_first_step_is_the_direct_forecast(fitted):
     assert rows(first, 6) == rows(last, 6)
 
 
+@pytest.mark.parametrize("variant", ["full", "distance_indeterminacy", "raw"])
+def test_walked_steps_are_the_projected_ones(fitted, monkeypatch, variant):
+    df, model = fitted
+    if variant != "full":
+        settings = replace(model.settings, variant=variant)
+        model = RegimeForecaster(settings).fit(df.where("split = 'train'").drop("split"), prep=model.prep, dual=model.dual)
+    walked = rows(model.predict_recursive(df, steps=6), 6)
+    monkeypatch.setattr(forest, "MAX_LEAVES", 0)
+    model.forest._nodes.clear()
+    assert rows(model.predict_recursive(df, steps=6, cut_every=3), 6) == walked
+    assert len(walked) == 6 * df.select("event_type").distinct().count()
+    model.forest._nodes.clear()
+
+
+def test_leaf_table_is_tree_by_tree(fitted, monkeypatch):
+    df, model = fitted
+    framed = regime_columns(lag_frame(model.prep.transform(df.drop("split")), model.settings), model.settings, model.dual)
+    three = model.with_trees(3).forest
+    looked_up = rows(three.transform(framed).select("event_type", "ts", "yhat", "sigma"), 9)
+    assert three.transform(framed)._jdf.queryExecution().toString().count("predictLeaf") <= 1
+    monkeypatch.setattr(forest, "MAX_LEAVES", 0)
+    model.forest._nodes.clear()
+    assert rows(three.transform(framed).select("event_type", "ts", "yhat", "sigma"), 9) == looked_up
+    model.forest._nodes.clear()
+
+
+def test_robustness_is_that_of_each_level_alone(fitted):
+    df, model = fitted
+    got = {(r["kind"], r["level"]): r["rmse"] for r in experiments.robustness(df, SMALL, (0.0, 0.15), (0.2,), model).collect()}
+    test, past = df.where("split = 'test'").drop("split"), df.where("split <> 'test'").drop("split")
+    noisy = experiments.add_noise(test, TYPE, "ts", "y", 0.15)
+    gappy = clean.fill(experiments.remove_values(test, TYPE, "ts", "y", 0.2), TYPE, ["ts"], "y")
+    for key, touched in {("noise", 0.0): test, ("noise", 0.15): noisy, ("missing", 0.2): gappy}.items():
+        alone = metrics.point(model.evaluate(past.unionByName(touched), test), []).first()["rmse"]
+        assert got[key] == pytest.approx(alone)
+    assert len(got) == 3
+
+
+def test_batched_fits_are_plain_ones(blobs):
+    x = np.array([r["x"] for r in blobs.collect()])
+    found = batched.Rows(blobs.repartition(5), "x")
+    fits = batched.fit_hard_many(found, [2, 3, 4], 4, tol=0.0)
+    for k, runs in fits.items():
+        for fit in runs:
+            far = ((x[:, None] - fit.centres[None]) ** 2).sum(axis=2)
+            assert fit.cost == pytest.approx(far.min(axis=1).sum())
+            label = far.argmin(axis=1)
+            assert np.allclose(fit.centres, [x[label == j].mean(axis=0) for j in range(k)])
+    best = [min(runs, key=lambda f: f.cost) for runs in fits.values()]
+    for fit, score in zip(best, batched.silhouettes(found, best)):
+        label = ((x[:, None] - fit.centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        square = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+        values = []
+        for i in range(len(x)):
+            own = (label == label[i]).sum()
+            a = square[i][label == label[i]].sum() / max(own - 1, 1)
+            b = min(square[i][label == j].mean() for j in set(label) - {label[i]})
+            values.append((b - a) / max(a, b) if own > 1 else 0.0)
+        assert score == pytest.approx(np.mean(values))
+
+
+def test_soft_fits_with_the_bound_are_the_plain_loop(blobs):
+    x = np.array([r["x"] for r in blobs.collect()])
+    start = np.array([[0.2, 0.1], [0.8, 0.9], [0.1, 0.7]])
+    fit = batched.SoftClustering(start.copy(), fuzziness=2.0)
+    batched.fit_soft_many(batched.Rows(blobs, "x"), [fit], 100, 1e-4)
+    centres, before, passes = start, None, 0
+    while True:
+        u, _ = batched.memberships(x, centres, 2.0)
+        passes += 1
+        if before is not None and np.sqrt(((u - before) ** 2).sum()) < 1e-4:
+            break
+        w = u * u
+        before, centres = u, (w.T @ x) / w.sum(axis=0)[:, None]
+    assert fit.settled and fit.passes == passes
+    assert np.allclose(fit.centres, centres, atol=1e-6)
+
+
 def test_short_series_is_reported(fitted):
     df, model = fitted
     first = df.where("event_type = 'view'").orderBy("ts").limit(3)
