@@ -90,6 +90,35 @@ def _(v):
     return _bounds(intervals.adaptive(v.interval_inputs, TYPE))
 
 
+@query(
+    "int4_linear_quantile",
+    # The quantiles themselves are fitted; what must hold is known: as many rows lie below a linear quantile as
+    # its level says, but for one row a coefficient, and its loss is not above that of a special case of it.
+    """SELECT count(*) AS total_rows, true AS low_share_holds, true AS high_share_holds, true AS low_loss_holds, true AS high_loss_holds
+       FROM interval_inputs WHERE y - yhat IS NOT NULL""",
+)
+def _(v):
+    regime = {f"k_{j}": (F.col("k") == j).cast("double") for j in (1, 2)}
+    names = [*regime, "sigma", "indeterminacy"]
+    rows = v.interval_inputs.withColumns(regime).where("y - yhat IS NOT NULL")
+    fitted = intervals.linear_quantile(rows, names, intervals.linear_quantiles(rows, names))
+    by_k = intervals.fit_residual_quantiles(rows, ["k"]).select(F.col("k").alias("_k"), "_lo", "_hi")
+    both = fitted.join(F.broadcast(by_k), fitted["k"].eqNullSafe(by_k["_k"]))  # one row a regime
+    e, p = F.col("y") - F.col("yhat"), len(names) + 1
+
+    def loss(q, tau):
+        return F.sum(F.greatest(tau * (e - q), (tau - 1) * (e - q)))
+
+    checks = {}
+    for name, bound, regime_q, tau in (("low", "lower", "_lo", 0.025), ("high", "upper", "_hi", 0.975)):
+        q = F.col(bound) - F.col("yhat")
+        # Rows on the line, which the fit passes within its tolerance, may count on either side.
+        near = F.lit(1e-4) * F.max(F.abs(e))
+        checks[f"{name}_share_holds"] = F.abs(F.count_if(e < q) - tau * F.count(F.lit(1))) <= p
+        checks[f"{name}_loss_holds"] = loss(q, tau) <= loss(F.col(regime_q), tau) + near
+    return both.agg(F.count(F.lit(1)).alias("total_rows"), *[c.alias(n) for n, c in checks.items()])
+
+
 @query(
     "int4_residual_quantile",
     """SELECT event_type, ts, round(yhat + lo, 6) + 0.0 AS lower, round(yhat + hi, 6) + 0.0 AS upper FROM interval_inputs
@@ -504,9 +533,26 @@ def _(v):
     return _r(sig.wilcoxon(_pairs(v), TYPE).select("event_type", "p_value", "significant"))
 
 
-@query("tst2_modified_p_values")
+def student_tail_sql(t: str, df: str) -> str:
+    """Two-sided Student tail for whole degrees: the finite sums for even and odd degrees by gamma functions."""
+    c = f"({df} / ({df} + ({t}) * ({t})))"
+    sine = f"(abs({t}) / sqrt({df} + ({t}) * ({t})))"
+    even = f"list_sum(list_transform(range(0, ({df} // 2)::BIGINT), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0) + k * ln({c})) / sqrt(pi())))"
+    odd = f"list_sum(list_transform(range(0, (({df} - 1) // 2)::BIGINT), lambda k: exp(lgamma(k + 1.0) - lgamma(k + 1.5) + k * ln({c})) * sqrt(pi()) / 2)) * sqrt({c})"
+    return f"greatest(1 - CASE WHEN {df} % 2 = 0 THEN {sine} * {even} ELSE (atan(abs({t}) / sqrt({df})) + {sine} * {odd}) * 2 / pi() END, 0)"
+
+
+@query(
+    "tst2_modified_p_values",
+    f"""WITH s AS (SELECT event_type, count(*) AS n, avg(d) / sqrt(var_samp(d) * (1 + 2 * corr(d, d1)) / count(*)) AS s
+            FROM (SELECT *, lag(d) OVER (PARTITION BY event_type ORDER BY ts) AS d1 FROM ({_dm(2)})) GROUP BY 1),
+        c AS (SELECT *, sqrt((n - 3 + 2.0 / n) / n) AS c, s * sqrt((n - 3 + 2.0 / n) / n) AS t FROM s),
+        p AS (SELECT *, {student_tail_sql('t', '(n - 1)')} AS p FROM c)
+       SELECT event_type, n, round(s, 6) AS original_statistic, round(c, 6) AS correction, round(t, 6) AS statistic,
+        round(p, 6) AS p_value, p < 0.05 AS significant FROM p""",
+)
 def _(v):
-    return sig.modified_diebold_mariano(_pairs(v), TYPE, ["ts"], horizon=2)
+    return _r(sig.modified_diebold_mariano(_pairs(v), TYPE, ["ts"], horizon=2))
 
 
 @query(
@@ -603,6 +649,16 @@ def _(v):
     return _r(sig.against_reference(v.pred_pairs, TYPE, ROW, "mean24", p_values=False))
 
 
-@query("tst6_against_reference_holm")
-def _(v):
-    return sig.against_reference(v.pred_pairs, TYPE, ROW, "mean24")
+@query(
+    "tst6_against_reference_holm",
+    f"""WITH d AS (SELECT event_type, 'lag1' AS model, abs(y - mean24)^2 - abs(y - lag1)^2 AS d FROM lagged
+            UNION ALL SELECT event_type, 'lag24', abs(y - mean24)^2 - abs(y - lag24)^2 FROM lagged),
+        s AS (SELECT event_type, model, count(*) AS n, avg(d) / sqrt(var_samp(d) / count(*)) AS s FROM d GROUP BY 1, 2),
+        c AS (SELECT *, sqrt((n - 1.0) / n) AS c, s * sqrt((n - 1.0) / n) AS t FROM s),
+        p AS (SELECT *, {student_tail_sql('t', '(n - 1)')} AS p FROM c),
+        h AS (SELECT *, least(p * (3 - row_number() OVER (PARTITION BY event_type ORDER BY p, model)), 1) AS h FROM p)
+       SELECT event_type, model, n, round(s, 6) AS original_statistic, round(c, 6) AS correction, round(t, 6) AS statistic,
+        round(p, 6) AS p_value, round(h, 6) AS corrected_p, h < 0.05 AS significant FROM h""",
+)
+def _(v):
+    return _r(sig.against_reference(v.pred_pairs, TYPE, ROW, "mean24"))

@@ -1,23 +1,15 @@
 """Tail probabilities for test statistics.
 
-They are applied to result rows, one per group and test, so a vectorised Python function is
-enough where Spark has no built-in.
+The column forms are finite sums inside the row; the scalar forms serve driver code and tests.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 from statistics import NormalDist
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-# Executors get these functions by value, so the package need not be installed on them.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def normal_quantile(level: float) -> float:
@@ -67,11 +59,6 @@ def t_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
-def _each(fn, *series: pd.Series) -> pd.Series:
-    rows = zip(*series)
-    return pd.Series([None if any(v is None or v != v for v in r) else fn(*r) for r in rows], dtype="float64")
-
-
 def odd_chi2_upper(x: float, df: float) -> float:
     """Upper tail for odd degrees: the normal tail plus a finite sum of half-integer powers."""
     if x <= 0:
@@ -99,22 +86,48 @@ def normal_p_value(z: str | Column) -> Column:
     return F.when(F.isnan(x), None).when(x < 3, inner).otherwise(outer)
 
 
-def t_p_value(t: str | Column, df: str | Column) -> Column:
-    def tail(ts: pd.Series, dfs: pd.Series) -> pd.Series:
-        return _each(t_two_sided, ts, dfs)
-
-    return F.pandas_udf(tail, DoubleType())(t, df)
+#: Degrees from which the Student tail is that of a corrected normal value, within about 1e-9.
+MANY_DEGREES = 20_000
 
 
-def chi2_p_value(x: Column, df: int) -> Column:
-    """Upper tail of the chi-squared distribution; a closed form when ``df`` is even."""
-    if df % 2:
+def t_p_value(t: str | Column, df: str | Column) -> Column:
+    """Two-sided Student tail for whole degrees as a column: a finite sum of powers of a cosine.
+
+    With theta = atan(t / sqrt(df)) the central share is sin(theta) times a sum over even powers of
+    cos(theta) for even degrees, and (theta + sin(theta) times a sum over odd powers) * 2 / pi for odd ones.
+    """
+    t, df = (F.col(c) if isinstance(c, str) else c for c in (t, df))
+    x, n = F.abs(t.cast("double")), df.cast("double")
+    odd = F.pmod(n, F.lit(2.0))
+    square = n / (n + x * x)
+    sine = x / F.sqrt(n + x * x)
+    first = F.when(odd == 1, F.sqrt(square)).otherwise(F.lit(1.0))
+    last = F.floor((n - 2 - odd) / 2).cast("int")
+    powers = F.when((last >= 1) & (n < MANY_DEGREES), F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    grown = lambda a, k: a["term"] * square * (2 * k - 1 + odd) / (2 * k + odd)
+    total = F.aggregate(
+        powers,
+        F.struct(first.alias("term"), first.alias("total")),
+        lambda a, k: F.struct(grown(a, k).alias("term"), (a["total"] + grown(a, k)).alias("total")),
+        lambda a: a["total"],
+    )
+    central = (
+        F.when(n == 1, F.atan(x) * 2 / math.pi)
+        .when(odd == 1, (F.atan(x / F.sqrt(n)) + sine * total) * 2 / math.pi)
+        .otherwise(sine * total)
+    )
+    far = normal_p_value(x * (1 - 1 / (4 * n)) / F.sqrt(1 + x * x / (2 * n)))
+    tail = F.when(n >= MANY_DEGREES, far).otherwise(F.greatest(1 - central, F.lit(0.0)))
+    return F.when((n >= 1) & ~F.isnan(x), tail)
 
-        def tail(xs: pd.Series) -> pd.Series:
-            return xs.map(lambda v: odd_chi2_upper(v, df), na_action="ignore")
 
-        return F.pandas_udf(tail, DoubleType())(x)
+def chi2_p_value(x: Column, df: int) -> Column:
+    """Upper tail of the chi-squared distribution: a finite sum, plus a normal tail for odd degrees."""
     half = x / 2.0
+    if df % 2:
+        log = F.log(half)
+        terms = [F.exp(log * (k - 0.5) - half - math.lgamma(k + 0.5)) for k in range(1, df // 2 + 1)]
+        return F.when(x > 0, sum(terms, normal_p_value(F.sqrt(x)))).when(x <= 0, 1.0)
     terms = F.lit(1.0)
     for k in range(1, df // 2):
         terms = terms + F.pow(half, F.lit(float(k))) / float(math.factorial(k))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimecast.functions.tails import normal_quantile
+from regimecast.operators import batched
 from regimecast.operators.metrics import covered
 from regimecast.operators.ordering import Keys, grouped, join_params
 
@@ -96,6 +98,73 @@ def residual_quantile(df: DataFrame, groups: Keys, params: DataFrame) -> DataFra
     ).drop("_lo", "_hi")
 
 
+_LEAST = 1e-6  # smoothing of the pinball loss at the end, as a share of the residuals' mean size
+
+
+def linear_quantiles(
+    df: DataFrame, features: Sequence[str], level: float = 0.95, max_passes: int = 300, tol: float = 1e-7
+) -> list[list[float]]:
+    """Coefficients (constant first) of the linear lower and upper residual quantiles, without a penalty.
+
+    Both are fitted in the same passes. A pass replaces the pinball loss by a parabola that touches it from
+    above at the last fit; its minimum solves weighted normal equations, whose sums Spark adds up, so
+    the loss never rises. The loss is smoothed near zero, less with every pass. Ends when a pass at the least
+    smoothing lowers no loss by more than the share ``tol``; raises if ``max_passes`` do not suffice. Rows with
+    a null feature or residual are left out. Features should not be collinear: the shortest solution is taken.
+    """
+    e = (F.col("y") - F.col("yhat")).cast("double")
+    cells = [F.lit(1.0), *[F.col(c).cast("double") for c in features], e]
+    whole = df.select(F.when(~F.exists(F.array(*cells), lambda c: c.isNull()), F.array(*cells)).alias("x"))
+    rows = batched.Rows(whole, "x")
+    p = len(features) + 1
+    if rows.count < p:
+        raise ValueError(f"{rows.count} rows are too few for {p} coefficients")
+    taus = np.array([(1 - level) / 2, 1 - (1 - level) / 2])
+
+    def start(values: np.ndarray, totals: dict) -> None:
+        row = np.concatenate([values[:, :p].sum(axis=0), [np.abs(values[:, p]).sum()], (values[:, :p] ** 2).sum(axis=0)])
+        totals[0] = totals[0] + row if 0 in totals else row
+
+    found = rows.summed(start)
+    sums = np.array([found[0, j] for j in range(p)])
+    scale = found[0, p] / rows.count or 1.0
+    width = np.sqrt(np.array([found[0, p + 1 + j] for j in range(p)]) / rows.count)
+    width[width == 0] = 1.0
+    fits, smooth, losses = np.zeros((2, p)), 0.1 * scale, np.full(2, np.inf)
+    for _ in range(max_passes):
+        now, soft = fits.copy(), smooth
+
+        def weigh(values: np.ndarray, totals: dict) -> None:
+            x, y = values[:, :p] / width, values[:, p]
+            for i in range(2):
+                r = y - x @ now[i]
+                w = 1.0 / (soft + np.abs(r))
+                loss = np.maximum(taus[i] * r, (taus[i] - 1) * r).sum()
+                row = np.concatenate([(x.T @ (x * w[:, None])).ravel(), x.T @ (w * y), [loss]])
+                totals[i] = totals[i] + row if i in totals else row
+
+        found = rows.summed(weigh)
+        for i, tau in enumerate(taus):
+            flat = np.array([found[i, j] for j in range(p * p + p + 1)])
+            right = flat[p * p : p * p + p] + (2 * tau - 1) * sums / width
+            fits[i] = np.linalg.lstsq(flat[: p * p].reshape(p, p), right, rcond=1e-13)[0]
+        before, losses = losses, np.array([found[i, p * p + p] for i in range(2)])
+        if soft <= _LEAST * scale and (losses >= before * (1 - tol)).all():
+            return (now / width).tolist()
+        smooth = max(0.8 * smooth, _LEAST * scale)
+    raise ValueError(f"linear quantiles have not settled after {max_passes} passes")
+
+
+def linear_quantile(df: DataFrame, features: Sequence[str], coefficients: Sequence[Sequence[float]]) -> DataFrame:
+    """Bounds yhat + the linear residual quantiles of the row."""
+
+    def value(c: Sequence[float]) -> Column:
+        return sum((F.lit(float(b)) * F.col(n) for b, n in zip(c[1:], features)), F.lit(float(c[0])))
+
+    low, high = (F.col("yhat") + value(c) for c in coefficients)
+    return df.withColumns({"lower": low, "upper": high})
+
+
 def bootstrap(
     df: DataFrame,
     keys: Keys,

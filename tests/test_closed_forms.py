@@ -276,3 +276,33 @@ def test_bootstrap_bounds_surround_the_prediction(views):
     joined = out.join(params, "event_type").select(((F.col("upper") - F.col("lower")) / F.col("residual_std")).alias("w"))
     row = one(joined.agg(F.avg("w").alias("w"), F.min("w").alias("lo")))
     assert row["lo"] > 0 and row["w"] == pytest.approx(2 * 1.96, rel=0.15)
+
+
+def test_student_tail_column_is_the_incomplete_beta(spark):
+    cases = [(t, n) for t in (0.0, 0.3, -1.7, 2.5, 9.0) for n in (1, 2, 3, 4, 5, 10, 11, 60, 719, 19_999, 20_000, 500_001)]
+    df = spark.createDataFrame([(t, float(n)) for t, n in cases] + [(float("nan"), 4.0), (1.0, 0.0)], "t double, n double")
+    got = {(r["t"], r["n"]): r["p"] for r in df.select("t", "n", tails.t_p_value("t", "n").alias("p")).collect()}
+    for t, n in cases:
+        assert got[t, float(n)] == pytest.approx(tails.t_two_sided(t, n), abs=2e-9)
+    assert got[1.0, 0.0] is None and sum(p is None for p in got.values()) == 2
+
+
+def test_linear_quantiles_are_the_best_lines(spark):
+    """Against all lines through pairs of points, one of which is a linear quantile."""
+    from regimecast.operators import intervals
+
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 4, 60)
+    e = 1 + 0.5 * x + rng.normal(0, 0.3 + 0.3 * x)
+    df = spark.createDataFrame([(float(a), float(b), 0.0) for a, b in zip(x, e)] + [(None, 1.0, 0.0)], "x double, y double, yhat double")
+    fits = intervals.linear_quantiles(df, ["x"], level=0.8)
+
+    def loss(a, b, tau):
+        r = e - a - b * x
+        return np.maximum(tau * r, (tau - 1) * r).sum()
+
+    lines = [((e[i] * x[j] - e[j] * x[i]) / (x[j] - x[i]), (e[j] - e[i]) / (x[j] - x[i])) for i in range(60) for j in range(i)]
+    for (a, b), tau in zip(fits, (0.1, 0.9)):
+        assert loss(a, b, tau) == pytest.approx(min(loss(*line, tau) for line in lines), rel=1e-4)
+    with pytest.raises(ValueError):
+        intervals.linear_quantiles(df, ["x"], max_passes=2)

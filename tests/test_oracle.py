@@ -10,7 +10,7 @@ SQL = entry.oracle_sql()
 # Trained models and grids without a twin that run in a few seconds; tests/test_models.py covers the rest.
 ROWS_ONLY = [
     "clu7_random_memberships", "clv7_better_clustering", "clv_all_indices", "ens4_stacking", "int5_bootstrap",
-    "mdl7_vanilla_forest", "mdl8_boosted_trees", "mdl9_linear_lags_full", "tst2_modified_p_values",
+    "mdl7_vanilla_forest", "mdl8_boosted_trees", "mdl9_linear_lags_full", 
     "tst6_against_reference_holm",
 ]
 
