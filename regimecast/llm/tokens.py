@@ -47,6 +47,8 @@ SHARDS = (
 )
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Latin letters, then one sign or none, then the end of a line and the letters of the next one or nothing more.
+_PLAIN_UNIT = re.compile(r"([A-Za-z]+)([.,;:!?]?)(?:(\n)([A-Za-z]*))?")
 _CACHE_PIECES = 600_000
 
 
@@ -102,9 +104,19 @@ class CachedEncoder:
         for held in (self.spaced, self.bare):
             if len(held) > _CACHE_PIECES:
                 held.clear()
-        words = {u for u in units if u.isalpha() and max(u) < "\u0250"}
-        split = {u: _PIECE.findall(" " + u) for u in units - words}
-        bare = set()
+        words, plain, split, bare = set(), {}, {}, set()
+        for u in units:
+            if u.isalpha() and (u.isascii() or max(u) < "\u0250"):
+                words.add(u)
+            elif m := _PLAIN_UNIT.fullmatch(u):
+                # A word and what follows it, one sign or the end of a line: pieces by themselves.
+                plain[u] = parts = m.groups("")
+                words.add(parts[0])
+                bare.update(parts[1:])
+            else:
+                split[u] = _PIECE.findall(" " + u)
+        bare.discard("")
+        words -= self.spaced.keys()
         for pieces in split.values():
             head = pieces[0][1:]
             if len(pieces) > 1 and head.isalpha() and max(head) < "\u0250":
@@ -117,7 +129,13 @@ class CachedEncoder:
             self._learn_words(list(words))
         new = [p for p in bare if p not in self.bare]
         self.bare.update(zip(new, self._encode(new)))
-        found = {w: self.spaced[w] for w in words}
+        found, own = {u: self.spaced[u] for u in units if u in words}, self.bare
+        for unit, (word, sign, line, after) in plain.items():
+            ids = self.spaced[word] + own[sign] if sign else self.spaced[word]
+            if line:
+                found[unit] = b"".join([ids, own[line], own[after] if after else b""])
+            else:
+                found[unit] = self.spaced[unit] = ids
         for unit, pieces in split.items():
             head = pieces[0]
             ids = self.bare[head] if head in bare else self.spaced[head[1:]]
@@ -179,14 +197,9 @@ class CachedEncoder:
         # A text's first unit has no space before it.
         parts[len(units) :] = [self._head(units[i]) for i in index[heads].tolist()]
         index[heads] = np.arange(len(units), len(parts))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
-        starts, own = np.cumsum(sizes) - sizes, sizes[index]
-        ends = np.cumsum(own)
-        ids = np.frombuffer(b"".join(parts), f"<u{self.width}")
-        ids = ids[np.arange(ends[-1]) + np.repeat(starts[index] - ends + own, own)]
-        bounds = np.concatenate([[0], ends])[at].tolist()
-        for i, a, b in zip(plain.tolist(), bounds, bounds[1:]):
-            out[i] = ids[a:b].tobytes()
+        look, places = parts.__getitem__, index.tolist()
+        for i, a, b in zip(plain.tolist(), at.tolist(), at[1:].tolist()):
+            out[i] = b"".join(map(look, places[a:b]))
         return out
 
     def _head(self, unit: str) -> bytes:
