@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,10 +22,17 @@ from regimecast.llm.common import col, with_fields
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*+)>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>",
     re.S,
 )
+#: The same without quotes, for pages whose quotes do not close.
+_PLAIN_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>(?P<end2>)(?P<tag2>)",
+    re.S,
+)
+_OPEN_QUOTES = 32  # tags whose quotes run to the end of the page, after which quotes no longer count
 _OPEN_END = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
@@ -63,6 +71,8 @@ class _Tree:
 
     def __init__(self) -> None:
         self.tags, self.parents, self.parts, self.cut, self.hints = ["body"], [-1], [[]], [False], [0]
+        self.inside = [False]  # of an article or main, or one itself
+        self.open: Counter = Counter()  # open elements by tag
 
     def add(self, parent: int, tag: str, cut: bool, hint: int = 0) -> int:
         node = len(self.tags)
@@ -71,6 +81,7 @@ class _Tree:
         self.parts.append([])
         self.cut.append(cut or self.cut[parent])
         self.hints.append(hint)
+        self.inside.append(self.inside[parent] or tag in ("article", "main"))
         self.parts[parent].append(node)
         return node
 
@@ -155,7 +166,7 @@ def _cut_hints(tree: _Tree) -> None:
 
 
 def parse(page: str) -> _Tree:
-    tree, stack, at = _Tree(), [0], 0
+    tree, stack, at, token, unclosed = _Tree(), [0], 0, _TOKEN, 0
     end_of_tags = page.rfind(">") + 1  # nothing behind can be a whole tag
     match = _TOKEN.search(page, 0, end_of_tags)
     while match:
@@ -173,7 +184,7 @@ def parse(page: str) -> _Tree:
             pass  # the root stands for both
         elif tag:
             _before(tree, stack, tag)
-            inside = any(tree.tags[n] in ("article", "main") for n in stack)
+            inside = tree.inside[stack[-1]]
             rest = match["rest"] or ""
             attributes = _attributes(rest) if rest else {}
             node = tree.add(stack[-1], tag, _furniture(tag, attributes, inside), _hint(attributes))
@@ -182,7 +193,11 @@ def parse(page: str) -> _Tree:
                 at = end.end() if end else len(page)
             elif tag not in _VOID and not (rest.endswith("/") and tag in ("svg", "path")):
                 stack.append(node)
-        match = _TOKEN.search(page, at, end_of_tags) if at < end_of_tags else None
+                tree.open[tag] += 1
+        if match["tag2"] and '"' in match[0] or match["tag2"] and "'" in match[0]:
+            unclosed += 1
+            token = _PLAIN_TOKEN if unclosed > _OPEN_QUOTES else _TOKEN
+        match = token.search(page, at, end_of_tags) if at < end_of_tags else None
     rest = _OPEN_END.split(page[at:], maxsplit=1)[0]  # a tag or comment that never ends shows nothing
     if rest:
         tree.parts[stack[-1]].append(html.unescape(rest))
@@ -198,21 +213,32 @@ def _before(tree: _Tree, stack: list[int], tag: str) -> None:
         closed, stop = {"p"}, _SCOPE
     else:
         return
+    if not any(tree.open[name] for name in closed):
+        return
     for depth in range(len(stack) - 1, 0, -1):
         name = tree.tags[stack[depth]]
         if name in closed:
-            del stack[depth:]
+            _leave(tree, stack, depth)
             return
         if name in stop:
             return
 
 
+def _leave(tree: _Tree, stack: list[int], depth: int) -> None:
+    """Close all elements from this depth on."""
+    for node in stack[depth:]:
+        tree.open[tree.tags[node]] -= 1
+    del stack[depth:]
+
+
 def _close(tree: _Tree, stack: list[int], tag: str) -> None:
     inline = tag not in _BLOCK
+    if not tree.open[tag]:
+        return  # a stray end tag
     for depth in range(len(stack) - 1, 0, -1):
         name = tree.tags[stack[depth]]
         if name == tag:
-            del stack[depth:]
+            _leave(tree, stack, depth)
             return
         if inline and name in _BLOCK:
             return  # a stray end tag

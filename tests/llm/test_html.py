@@ -85,3 +85,27 @@ def test_own_text_counts():
     density, total = H.densities(tree)
     leaf = max(i for i, t in enumerate(tree.tags) if t == "div")
     assert total[leaf] == density[leaf] > 0
+
+
+def test_long_attributes_and_deep_nesting_take_linear_time():
+    import time
+
+    body = "<p>" + "The article stands here, with words enough. " * 8 + "</p>"
+    want = H.main_text(f"<article>{body}</article>")
+    assert want
+    quoted = f'<article title="{"a > b <i> " * 20_000}">{body}</article>'
+    deep = "<div>" * 100_000 + f"<article>{body}</article>" + "</div>" * 100_000
+    inline = f"<article>{body}</article>" + "<span>" * 50_000 + "</b></section>" * 50_000
+    for page in (quoted, deep, inline):
+        began = time.process_time()
+        assert H.main_text(page) == want
+        assert time.process_time() - began < 5
+
+
+def test_quotes_that_never_close():
+    import time
+
+    body = "<p>" + "The article stands here, with words enough. " * 8 + "</p>"
+    began = time.process_time()
+    text = H.main_text(f"<article>{body}</article>" + "<b class='x>y</b>\n<i>" * 20_001)
+    assert "The article stands here" in text and time.process_time() - began < 10
