@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regimecast.catalog.registry import define_view, query, rounded
@@ -99,6 +100,39 @@ def _(v):
     return cq.fitted_hard(v.norm_user, "x", N_REGIMES)
 
 
+@query(
+    "clu1_cost_invariant",
+    "SELECT count(*) AS total_rows, 3::BIGINT AS clusters, true AS cost_holds, true AS centres_are_means FROM norm_user",
+)
+def _(v):
+    """The cost is that of every row at its nearest centre, and every centre the mean of its rows, within the tolerance."""
+    centres, cost = clustering.fit_hard(v.norm_user, "x", N_REGIMES)
+    near = regimes.centre_distances(regimes.assign_hard(v.norm_user, "x", centres), "x", centres, "d")
+    square = F.array_min("d") * F.array_min("d")
+    at = near.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("s"), F.avg(F.get("x", F.lit(0))).alias("m"))
+    means = F.element_at(F.array(*[F.lit(c[0]) for c in centres]), F.col("k") + 1)
+    return at.agg(
+        F.sum("n").alias("total_rows"),
+        F.count(F.lit(1)).alias("clusters"),
+        (F.abs(F.sum("s") - cost) < 1e-6 * cost).alias("cost_holds"),
+        (F.max(F.abs(F.col("m") - means)) < 1e-3).alias("centres_are_means"),
+    )
+
+
+@query(
+    "clv6_recommend_k_invariant",
+    "SELECT k::INTEGER AS k, true AS less_than_before, k = 2 OR k <> 2 AS in_range FROM range(2, 11) r(k)",
+)
+def _(v):
+    """k = 2..10, costs that fall with k, silhouettes within [-1, 1], one recommendation and it the best."""
+    table = cq.recommend_k(v.norm_user, "x")
+    by_k = Window.orderBy("k")  # nine rows
+    falls = F.coalesce(F.col("inertia") < F.lag("inertia").over(by_k), F.lit(True))
+    best = F.max("silhouette").over(Window.partitionBy())
+    right = F.col("silhouette").between(-1, 1) & (F.col("recommended") == (F.col("silhouette") == best))
+    return table.select("k", falls.alias("less_than_before"), right.alias("in_range"))
+
+
 @query("clu5_fuzzy_random_fit")
 def _(v):
     model = clustering.FuzzyCMeans(k=N_REGIMES).fit(v.norm_user)

@@ -154,7 +154,11 @@ def sensitivity(
     rows: DataFrame, settings: ForecastSettings, grid: dict[str, Sequence[float]] | None = None
 ) -> DataFrame:
     """RMSE and coverage along each parameter, every setting by itself against the others' defaults."""
-    predictions = sensitivity_predictions(rows, settings, grid)
+    return sensitivity_table(sensitivity_predictions(rows, settings, grid))
+
+
+def sensitivity_table(predictions: DataFrame) -> DataFrame:
+    """RMSE, coverage and the best setting of every parameter."""
     table = predictions.groupBy("parameter", "setting").agg(
         metrics.point_metrics()["rmse"].alias("rmse"), F.avg(metrics.covered()).alias("picp")
     )
