@@ -603,62 +603,3 @@ def _(v):
         (error < spread).alias("fits"),
     )
 
-
-define_view(
-    "dataset_tests",
-    """SELECT 'hourly_events' AS dataset, sum(n - n_train - n_val)::BIGINT AS n_test FROM series_rows
-       UNION ALL SELECT 'daily_orders', (count(*) - floor(count(*) * 0.8::DOUBLE) - floor(count(*) * 0.1::DOUBLE))::BIGINT FROM daily_orders""",
-)
-
-
-def _whole(predictions, by):
-    """Rows, rows without a forecast, and whether bounds lie around it, per group."""
-    ordered = (F.col("lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("upper"))
-    return predictions.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(F.col("yhat").isNull() | F.isnan("yhat")).alias("missing"),
-        F.count_if(~F.coalesce(ordered, F.lit(False))).alias("unordered"),
-    )
-
-
-WHOLE = "n_test AS total_rows, 0::BIGINT AS missing, 0::BIGINT AS unordered"
-
-
-@query(
-    "exp4_comparison_invariant",
-    f"""SELECT dataset, model, {WHOLE} FROM dataset_tests,
-        (SELECT unnest(['regime_forest', 'vanilla_forest', 'boosted_trees', 'linear_lags']) AS model)""",
-)
-def _(v):
-    return _whole(_compared(v), ["dataset", "model"])
-
-
-@query(
-    "exp5_ablation_invariant",
-    f"""SELECT model, {WHOLE} FROM dataset_tests, (SELECT unnest({[*experiments.VARIANTS, 'linear_lags']!r}) AS model)
-        WHERE dataset = 'hourly_events'""",
-)
-def _(v):
-    return _whole(_ablated(v), ["model"])
-
-
-GRID_SQL = " UNION ALL ".join(
-    f"SELECT '{name}' AS parameter, {float(x)!r}::DOUBLE AS setting" for name, values in experiments.SENSITIVITY.items() for x in values
-)
-
-
-@query(
-    "exp6_sensitivity_invariant",
-    f"SELECT parameter, setting, {WHOLE} FROM dataset_tests, ({GRID_SQL}) WHERE dataset = 'hourly_events'",
-)
-def _(v):
-    """Each of the 23 settings scores the whole test split."""
-    return _whole(_varied(v), ["parameter", "setting"])
-
-
-@query(
-    "exp7_cross_invariant",
-    f"SELECT a.dataset AS train_set, b.dataset AS test_set, b.{WHOLE} FROM dataset_tests a, dataset_tests b WHERE a.dataset <> b.dataset",
-)
-def _(v):
-    return _whole(_crossed(v), ["train_set", "test_set"])
