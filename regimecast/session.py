@@ -55,6 +55,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Tables that the steps of a long job hand on to each other, in a shared folder; superseded ones are dropped.
+
+    A written table cuts the lineage like a checkpoint, survives lost executors and takes less room, as it is
+    compressed. Dropping also lets Spark's cleaner delete the shuffle files of the steps before: it acts when
+    the driver's heap is collected, which a driver with little to do puts off for half an hour.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = scratch_path(spark, name)
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete these tables; no frame that is still to be evaluated may read them."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.java.lang.System.gc()
+
+
 @contextmanager
 def kept(df: DataFrame) -> Iterator[DataFrame]:
     """Rows held for several passes. Lost blocks are recomputed; a frame the caller has already
