@@ -1,14 +1,15 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint of 64 bits is cut into four segments. For every segment the Hamming ball of radius 1
-around its value is enumerated, and each variant, beside the other segments as they are, is a key
-of the index. Two fingerprints that differ in at most two bits share a key: one bit is flipped on
-either side. Matches fetched from the index are verified on all 64 bits.
-
-Keying by a segment alone would put every fingerprint with a common segment value into one bucket,
-whose pairs grow with the square of its size. With the other segments in the key no bucket holds
-more than 65 distinct fingerprints, however many texts are alike, so nothing has to be capped.
-Equal fingerprints are one node of the graph from the start.
+A fingerprint of 64 bits is cut into two segments of 32. A table holds every distinct fingerprint
+once per segment, under the segment's value. Of two fingerprints that differ in at most two bits, one
+segment differs in at most one, so the table is probed with the Hamming ball of radius 1 around each
+segment value, and matches are verified on all 64 bits. Where two values differ in one bit, one of them
+lacks it; it is enough that this one asks for the other, so only variants with a further bit set are probed.
+
+A segment value that many fingerprints share is split by a further segment: the other half's two
+quarters, with the ball of radius 1 around each (two bits over two quarters leave one with at most one).
+A split bucket has 48 bits in common, so it holds at most 2^16 fingerprints whatever the table's size.
+Nothing is capped. Equal fingerprints are one node of the graph from the start.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimecast.llm.common import col, fresh, spaced_words, tool
 from regimecast.session import materialise
 
-SEGMENTS, SEGMENT_BITS, SEED, SHINGLE, MAX_BITS = 4, 16, 42, 3, 2
+SEGMENTS, SEGMENT_BITS, SEED, SHINGLE, MAX_BITS = 2, 32, 42, 3, 2
+#: Fingerprints under one segment value above which they are split by a further segment.
+HOT_BUCKET = 64
 _BLOCK = 1 << 18  # shingles whose bits are unpacked at once
 
 
@@ -60,30 +63,52 @@ def fingerprint_column(text: Column) -> Column:
     return F.pandas_udf(_signed, "bigint")(text)
 
 
-def _keys(value: Column) -> Column:
-    """The fingerprint and, for every segment, its value with one bit flipped."""
-    flips = [
-        value.bitwiseXOR(F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("bigint"))
-        for segment in range(SEGMENTS)
-        for bit in range(segment * SEGMENT_BITS, (segment + 1) * SEGMENT_BITS)
-    ]
-    return F.array(value, *flips)
+def _bits(value: Column, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(value, first).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+
+
+def _itself(value: Column, bits: int) -> Column:
+    return F.array(value)
+
+
+def _ball(value: Column, bits: int) -> Column:
+    """The value and its variants with one further bit set."""
+    return F.array_distinct(F.array(value, *[value.bitwiseOR(F.lit(1 << bit).cast("bigint")) for bit in range(bits)]))
+
+
+def segment_rows(prints: DataFrame, around) -> DataFrame:
+    """(segment, value, fp): for each segment of the fingerprints the values ``around`` its own."""
+    fp = F.col("fp")
+    first, second = (
+        prints.select(F.lit(s).alias("segment"), F.explode(around(_bits(fp, s * SEGMENT_BITS, SEGMENT_BITS), SEGMENT_BITS)).alias("value"), "fp")
+        for s in range(SEGMENTS)
+    )
+    return first.unionByName(second)
+
+
+def _split(rows: DataFrame, hot: DataFrame, around) -> DataFrame:
+    """The rows with ``part``: -1, or under a hot value the values ``around`` either quarter of the other segment."""
+    fp, quarter = F.col("fp"), SEGMENT_BITS // 2
+    rest = F.when(F.col("segment") == 0, _bits(fp, SEGMENT_BITS, SEGMENT_BITS)).otherwise(_bits(fp, 0, SEGMENT_BITS))
+    low, high = _bits(rest, 0, quarter), _bits(rest, quarter, quarter).bitwiseOR(F.lit(1 << quarter).cast("bigint"))
+    parts = F.concat(around(low, quarter), around(high, quarter))
+    marked = rows.join(hot.withColumn("_hot", F.lit(True)), ["segment", "value"], "left")
+    one = F.array(F.lit(-1).cast("bigint"))
+    return marked.select("segment", "value", F.explode(F.when(F.col("_hot"), parts).otherwise(one)).alias("part"), "fp")
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Links (u, v), u > v, between the distinct fingerprints of column ``fp``.
+    """All links (u, v), u > v, between the distinct fingerprints of column ``fp``: at most ``MAX_BITS`` bits differ.
 
-    Every key links its members to its smallest one, at most 64 links a key, which keeps every
-    connection of ``MAX_BITS`` bits: partners always meet, and members of a key differ by two bits at most.
+    A fingerprint has at most 2,080 others within two bits.
     """
-    index = prints.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    least = F.min("fp").over(Window.partitionBy("key"))
-    return (
-        index.withColumn("v", least)
-        .where((F.col("fp") != F.col("v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= MAX_BITS))
-        .select(F.col("fp").alias("u"), "v")
-        .distinct()
-    )
+    table = segment_rows(prints, _itself)
+    hot = table.groupBy("segment", "value").count().where(F.col("count") > HOT_BUCKET).select("segment", "value")
+    held = _split(table, hot, _itself)
+    asked = _split(segment_rows(prints, _ball), hot, _ball).withColumnRenamed("fp", "asker")
+    met = held.join(asked, ["segment", "value", "part"])
+    near = (F.col("fp") != F.col("asker")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("asker"))) <= MAX_BITS)
+    return met.where(near).select(F.greatest("fp", "asker").alias("u"), F.least("fp", "asker").alias("v")).distinct()
 
 
 def _sum(edges: DataFrame) -> tuple:

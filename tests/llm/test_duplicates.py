@@ -176,8 +176,10 @@ def test_fingerprints_brute_force(spark):
     assert len(keys) == len(set(brute_components(list(range(len(prints))), prints)))
 
 
-def test_links_lose_none(spark):
-    """Random fingerprints around centres: chains, stars, both halves, the sign bit."""
+@pytest.mark.parametrize("hot", [1, 8, S.HOT_BUCKET])
+def test_links_lose_none(spark, monkeypatch, hot):
+    """Random fingerprints around centres: chains, stars, both halves, the sign bit; a half that all of a group share."""
+    monkeypatch.setattr(S, "HOT_BUCKET", hot)
     rng = random.Random(5)
     prints = []
     for _ in range(8):
@@ -186,6 +188,9 @@ def test_links_lose_none(spark):
             centre ^= 1 << rng.randrange(64)
             prints.append(centre ^ (1 << 63 if rng.random() < 0.2 else 0))
             prints.append(prints[-1] ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    half = rng.getrandbits(32)
+    prints += [half << 32 | rng.getrandbits(3) << rng.randrange(28) for _ in range(150)]
+    prints += [rng.getrandbits(3) << 40 | half for _ in range(20)] + [0, (1 << 64) - 1, 1 << 63]
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     table = spark.createDataFrame([(p,) for p in signed], "fp bigint")
     roots = {r["fp"]: r["root"] for r in S.components(table).collect()}
@@ -195,6 +200,13 @@ def test_links_lose_none(spark):
         groups.setdefault(w, set()).add(roots[p])
     assert all(len(g) == 1 for g in groups.values())
     assert len(set(roots.values())) == len(groups)
+    distinct = sorted(set(signed))
+    near = {(u, v) for u in distinct for v in distinct if u > v and ((u ^ v) % (1 << 64)).bit_count() <= 2}
+    assert {tuple(r) for r in S.links(table.distinct()).collect()} == near
+    # The table has one row for every segment of a fingerprint.
+    held = S.segment_rows(table.distinct(), S._itself).collect()
+    assert len(held) == S.SEGMENTS * len(distinct)
+    assert all((r["fp"] >> (S.SEGMENT_BITS * r["segment"])) % (1 << S.SEGMENT_BITS) == r["value"] for r in held)
 
 
 def test_fingerprints_empty_table(spark):
