@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from regimecast.functions.calendar import table_time_features
 from regimecast.functions.scalars import circular_step
-from regimecast.operators.ordering import Keys, join_params, over_series, row_index
+from regimecast.operators.ordering import Keys, join_params, over_series, row_index, running_sums
 
 # Fixed defaults of the lag sets and rolling windows.
 MODEL_LAGS = (1, 2, 3, 6, 12, 24)
@@ -183,10 +183,12 @@ def islands(
     df: DataFrame, keys: Keys, order: Sequence[str], flag: Column
 ) -> DataFrame:
     """Runs of consecutive flagged rows: (keys, region_start, region_end, length) by position."""
-    placed = row_index(df.withColumn("_flag", flag), keys, _cols(order), "_i")
-    flagged = row_index(placed.where("_flag").select(*keys, "_i"), keys, [F.col("_i")], "_j")
+    counts = {"_rows": F.lit(1), "_flagged": F.when(F.col("_flag"), 1).otherwise(0)}
+    counted = running_sums(df.withColumn("_flag", flag), keys, _cols(order), counts).where("_flag")
+    # Within a run both counts grow alike.
     return (
-        flagged.groupBy(*keys, (F.col("_i") - F.col("_j")).alias("_run"))
+        counted.withColumn("_i", F.col("_rows") - 1)
+        .groupBy(*keys, (F.col("_rows") - F.col("_flagged")).alias("_run"))
         .agg(
             F.min("_i").alias("region_start"),
             F.max("_i").alias("region_end"),
